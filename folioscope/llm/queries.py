@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, quality, topk, toxicity
 from .shared import documents
 
 
@@ -44,3 +44,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
 }
 SQL = {"op3_mixing": mixing.ORACLE_ROWS.replace("{docs}", "documents")}
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, table="labels"), keep_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score")
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(documents(spark, sf_dir, table="embeddings"))
+
+
+QUERIES |= {"op7_toxicity": op7_toxicity, "op10_top_k": op10_top_k}
+SQL["op10_top_k"] = topk.ORACLE
