@@ -36,10 +36,20 @@ def _bags(texts: pa.Array):
         yield lo, buf, starts, ends, head, end, np.searchsorted(starts, head, "right") - 1, words, of
 
 
+def _logit(miss: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(np.expm1(np.clip(miss, 0, 30)), 1e-12))
+
+
 class Model:
-    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float, leak: float):
+    """Words and weights, the bias of a sentence, the leak, and the line that takes a noisy-or's logit to the score's."""
+
+    def __init__(self, words: np.ndarray, weights: np.ndarray, bias: float, leak: float, line: tuple[float, float] = (1.0, 0.0)):
         order = np.argsort(words)
-        self.words, self.weights, self.bias, self.leak = words[order], weights[order], bias, leak
+        self.words, self.weights, self.bias, self.leak, self.line = words[order], weights[order], bias, leak, line
+
+    def calibrated(self, miss: np.ndarray) -> np.ndarray:
+        """Score of a document whose log(1 - p) is ``-miss``; a document without words has 0."""
+        return np.where(miss > 0, 1 / (1 + np.exp(-np.clip(self.line[0] * _logit(miss) + self.line[1], -30, 30))), 0.0)
 
     def weigh(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``words`` the model knows, and their weights."""
@@ -60,7 +70,7 @@ class Model:
             # log(1 - p) is log(1 - leak) minus the sum of softplus over sentences
             miss = np.bincount(row, weights=np.logaddexp(0, z), minlength=len(starts)) - np.log1p(-self.leak) * (np.bincount(row, weights=has_word, minlength=len(starts)) > 0)
             rows = slice(lo, lo + len(starts))
-            out["score"][rows] = -np.expm1(-miss)
+            out["score"][rows] = self.calibrated(miss)
             out["n_sentences"][rows] = np.bincount(row[has_word], minlength=len(starts))
             worst = np.lexsort((-np.arange(len(z)), z, row))  # the last of each row has its largest z, the earliest of equals
             last = worst[np.append(np.flatnonzero(np.diff(row[worst])), len(worst) - 1)]
@@ -120,7 +130,17 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 300, rate: float = 0
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8) / np.sqrt(t)
         w, b, leak = np.maximum(w + step[:-2], 0), min(b + step[-2], 0.0), min(leak + step[-1], -0.5)
-    return Model(known[pick], w, float(b), float(1 / (1 + np.exp(-leak))))
+    model = Model(known[pick], w, float(b), float(1 / (1 + np.exp(-leak))))
+    # 0.5 goes to the logit that parts the labels with the fewest errors, halfway between its neighbours.
+    z = b + np.bincount(s, weights=w[f], minlength=n_sent)
+    x = _logit(np.logaddexp(0, leak) + np.bincount(sent_doc, weights=np.where(held, np.logaddexp(0, z), 0), minlength=len(y)))
+    order = np.argsort(x, kind="stable")
+    x, right = x[order], np.append(0, np.cumsum(~y[order])) + y.sum() - np.append(0, np.cumsum(y[order]))
+    cuts = np.flatnonzero(np.diff(x) > 1e-9) + 1
+    if len(cuts):
+        at = cuts[right[cuts].argmax()]
+        model.line = (1.0, float(-(x[at - 1] + x[at]) / 2))
+    return model
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, keep: object, label: str, values: tuple, each: int = SAMPLE, text: str = "text") -> tuple[list[str], np.ndarray]:
