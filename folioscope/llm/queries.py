@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, topk, toxicity
+from . import bpe, language, mixing, quality, topk, toxicity
 from .shared import documents
 
 
@@ -57,3 +57,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op7_toxicity": op7_toxicity, "op10_top_k": op10_top_k}
 SQL["op10_top_k"] = topk.ORACLE
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = language.language(documents(spark, sf_dir, "doc_id", "text", "lang"), keep_text=False)
+    return named.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+QUERIES["op8_language"] = op8_language
