@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, topk, toxicity
+from . import bpe, language, mixing, quality, repeats, shingle_join, topk, toxicity
 from .shared import documents
 
 
@@ -65,3 +65,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_language"] = op8_language
+
+
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES["op1_repeats"] = op1_repeats
+
+
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES["op4_shingle_join"] = op4_shingle_join
