@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, repeats, shingle_join, topk, toxicity
+from . import bpe, language, line_dedup, mixing, quality, repeats, shingle_join, topk, toxicity
 from .shared import documents
 
 
@@ -79,3 +79,10 @@ def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_shingle_join"] = op4_shingle_join
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.later_lines(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES["op9_line_dedup"] = op9_line_dedup
