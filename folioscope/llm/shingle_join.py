@@ -261,3 +261,15 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     grouped = stored(named.join(label, "k", "left").select("doc_id", "n_shingles", F.coalesce("g", "k").alias("g")))
     least = stored(grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("least")))
     return grouped.join(least, "g", "left").select("doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id.  All columns stay.
+
+    Of rows that repeat an id one stays.  Rows without an id go where their component has one with an id; where it has
+    none they are one document, like rows that repeat an id.
+    """
+    linked = stored(link_documents(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")))
+    ids = stored(linked.distinct())
+    out = docs.join(ids, docs[doc_id].eqNullSafe(F.col("__kept")), "left_semi")
+    return out if linked.count() == ids.count() else out.dropDuplicates([doc_id])
