@@ -119,13 +119,18 @@ def shared_counts(source: DataFrame, part: float, n_buckets: int) -> DataFrame:
             if rows:
                 yield J.blob_batch(rows)
 
+    def summed(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, at = np.unique(k, return_inverse=True)
+        return known, np.bincount(at, weights=n, minlength=len(known)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def added() -> pa.RecordBatch:
-            k, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "shared"])
+            k, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            counts = np.zeros(len(k), _COUNT)
+            counts["k"], counts["n"] = k, n
+            return J.blob_batch(list(J.dealt((k.view(np.uint64) % np.uint64(n_buckets)).astype(np.int32), counts)))
 
         def kinds() -> Iterator[tuple[bool, np.ndarray]]:
             known: list[bytes] = []
@@ -167,9 +172,14 @@ def shared_counts(source: DataFrame, part: float, n_buckets: int) -> DataFrame:
         if held:
             yield added()
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in J.by_bucket(batches, _COUNT):
+            k, n = summed(e["k"].astype(np.int64), e["n"].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "shared"])
+
     blobs = source.mapInArrow(deal, "bucket int, blob binary")
     placed = blobs.repartition(F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    return placed.mapInArrow(count, "k long, shared long").groupBy("k").agg(F.sum("shared").alias("shared"))
+    return J.routed(placed.mapInArrow(count, "bucket int, blob binary")).mapInArrow(add, "k long, shared long")
 
 
 def _enough(part: float):
