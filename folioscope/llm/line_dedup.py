@@ -31,14 +31,17 @@ SLOTS, PAGE = 1 << 20, 4096
 #: Entries of a list from which on it is cut into blocks, and entries that a task sends together.
 SPLIT, CHUNK = 1 << 20, 400_000
 #: Earlier partners that pass the filters after which a line looks for no more in a list, unless none of them holds.
-ENOUGH = 4
+ENOUGH = 16
+#: Lines looked at together: a sort key has 16 bits for the line, 8 for rarity and 40 for the word.
+LINES, WORD_BITS = 1 << 16, 40
 NO_ID = np.int64(2**63 - 1)
-_ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("s8", "<u8"), ("s4", "<u4")])
+_WORD = np.uint64((1 << WORD_BITS) - 1)
+_ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("s", "<u8"), ("t", "<u8")])
 
 
 def line_words(texts: pa.Array) -> Iterator[dict[str, np.ndarray]]:
-    """For each block of texts its lines of ``LEAST_WORDS`` words or more: row, line_no, start and end (code points), and
-    ``words``, distinct hashes, with ``of``, the line of each; and ``all``, the hash of every word of these lines."""
+    """Lines of ``LEAST_WORDS`` words or more, up to ``LINES`` at once: row, line_no, start and end (code points), and of each
+    of their words the hash ``h`` and the line ``of``."""
     for lo, buf, starts, _ in B.blocks(texts):
         low = B.LOWER[buf]
         s, e = B.spans(low)
@@ -46,32 +49,34 @@ def line_words(texts: pa.Array) -> Iterator[dict[str, np.ndarray]]:
             continue
         feed = np.flatnonzero(buf == 10)
         head = np.append(0, feed[:-1] + 1)
-        line = np.searchsorted(feed, s)
-        count = np.bincount(line, minlength=len(feed))
-        use = count >= LEAST_WORDS
+        first = np.searchsorted(s, head)
+        count = np.diff(np.append(first, len(s)))
         h = B.hashes(low, s, e)
-        at = np.cumsum(use) - 1
-        inside = use[line]
-        h, of = h[inside], at[line[inside]]
-        order = np.lexsort((h, of))
-        hs, os = h[order], of[order]
-        new = np.append(True, (hs[1:] != hs[:-1]) | (os[1:] != os[:-1])) if len(hs) else np.zeros(0, bool)
-        row = np.searchsorted(starts, head, "right") - 1
-        first = np.searchsorted(head, starts)
-        chars = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
+        use = np.flatnonzero(count >= LEAST_WORDS)
+        row = np.searchsorted(starts, head[use], "right") - 1
+        line_no = use - np.searchsorted(head, starts)[row]
+        chars = np.append(np.int64(0), np.cumsum((buf & 0xC0) != 0x80))
         base = chars[starts[row]]
-        yield {"row": (lo + row)[use], "line_no": (np.arange(len(head)) - first[row])[use], "start": (chars[head] - base)[use], "end": (chars[feed] - base)[use], "words": hs[new], "of": os[new], "all": h}
+        for i in range(0, len(use), LINES):
+            part = slice(i, i + LINES)
+            on = use[part]
+            n = count[on]
+            at = np.arange(n.sum()) + np.repeat(first[on] - (np.cumsum(n) - n), n)
+            yield {"row": lo + row[part], "line_no": line_no[part], "start": chars[head[on]] - base[part], "end": chars[feed[on]] - base[part], "h": h[at], "of": np.repeat(np.arange(len(on)), n)}
 
 
-def _sets(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, keys) of the lines' sets."""
-    lines = len(w["row"])
-    n = np.bincount(w["of"], minlength=lines)
-    first = np.append(0, np.cumsum(n)[:-1]).astype(np.int64)
+def _distinct(w: dict[str, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word, words of each line) of the distinct words, in order of a key of 48 bits for each word."""
+    full = np.sort(w["of"].astype(np.uint64) << np.uint64(48) | key)
+    full = full[np.append(True, full[1:] != full[:-1])]
+    of = (full >> np.uint64(48)).astype(np.int64)
+    return of, full & np.uint64((1 << 48) - 1), np.bincount(of, minlength=len(w["row"]))
+
+
+def _set_keys(of: np.ndarray, word: np.ndarray, n: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(B.mix(w["words"]), first) if lines else np.zeros(0, np.uint64)
-        more = np.add.reduceat(B.mix(w["words"] ^ np.uint64(0x5851F42D4C957F2D)), first) if lines else np.zeros(0, np.uint64)
-        return n, B.mix(sums + B.mix(more) + n.astype(np.uint64)).view(np.int64)
+        first = np.cumsum(n) - n
+        return B.mix(np.add.reduceat(B.mix(word + np.uint64(1)), first) + n.astype(np.uint64)).view(np.int64)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -89,11 +94,10 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = _ids(batch)
             for w in line_words(batch.column(1)):
-                slot, times = np.unique(w["all"] & np.uint64(SLOTS - 1), return_counts=True)
-                table[slot.astype(np.int64)] += times
-                n, k = _sets(w)
-                some = [ids[w["row"]], w["line_no"], w["start"], w["end"], n, k]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(some, kinds, strict=False)], pa.nulls(len(k), kinds[6]), pa.nulls(len(k), kinds[7])], names=names)
+                np.add.at(table, _slot(w["h"] >> np.uint64(24)), 1)
+                of, word, n = _distinct(w, w["h"] >> np.uint64(16))
+                some = [ids[w["row"]], w["line_no"], w["start"], w["end"], n, _set_keys(of, word, n)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(some, kinds, strict=False)], pa.nulls(len(n), kinds[6]), pa.nulls(len(n), kinds[7])], names=names)
         pages = [p for p in range(SLOTS // PAGE) if table[p * PAGE : (p + 1) * PAGE].any()]
         blobs = [np.minimum(table[p * PAGE : (p + 1) * PAGE], 2**32 - 1).astype("<u4").tobytes() for p in pages]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(pages), t) for t in kinds[:6]], pa.array(pages, kinds[6]), pa.array(blobs, kinds[7])], names=names)
@@ -101,6 +105,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, line_no int, start long, end long, n int, k long, page int, counts binary")
 
 
+def _slot(word: np.ndarray) -> np.ndarray:
+    return (word & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def rarity(table: DataFrame) -> np.ndarray:
     """For each slot eight times the binary logarithm of its words' count: a megabyte, whatever the corpus."""
 
@@ -118,127 +126,153 @@ def rarity(table: DataFrame) -> np.ndarray:
     return out
 
 
-def entries_of(w: dict[str, np.ndarray], ids: np.ndarray, rare: np.ndarray, pick: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word hash, entry) for the prefixes of the lines picked."""
-    n = np.bincount(w["of"], minlength=len(w["row"]))
-    use = pick[w["of"]]
-    of, h = w["of"][use], w["words"][use]
-    # Ascending rarity within each line; equal table values in order of the hash
-    order = np.lexsort((h, rare[(h & np.uint64(SLOTS - 1)).astype(np.int64)], of))
-    of, h = of[order], h[order]
-    size = np.bincount(of, minlength=len(n))
-    first = np.cumsum(size) - size
-    pos = np.arange(len(h)) - first[of]
-    bit = (B.mix(h) % np.uint64(96)).astype(np.int64)
-    parity = np.bincount(of * 96 + bit, minlength=len(n) * 96).reshape(len(n), 96) & 1
-    packed = np.packbits(parity.astype(np.uint8), axis=1, bitorder="little")
-    s8, s4 = packed[:, :8].copy().view("<u8")[:, 0], packed[:, 8:].copy().view("<u4")[:, 0]
-    head = pos <= n[of] - J.least_overlap(n[of])
-    of, h, pos = of[head], h[head], pos[head]
-    out = np.zeros(len(h), _ENTRY)
-    out["doc"], out["line"] = ids[w["row"]][of], w["line_no"][of]
-    out["n"], out["pos"], out["s8"], out["s4"] = n[of], pos, s8[of], s4[of]
+def entries_of(w: dict[str, np.ndarray], ids: np.ndarray, rare: np.ndarray, split: int) -> np.ndarray:
+    """Entries of the prefixes of the lines, of lines with one set only those of the first."""
+    word = w["h"] >> np.uint64(24)
+    of, word, n = _distinct(w, rare[_slot(word)].astype(np.uint64) << np.uint64(WORD_BITS) | word)
+    much, word = (word >> np.uint64(WORD_BITS)).astype(np.int64), word & _WORD
+    doc, lines = ids[w["row"]], len(n)
+    k = _set_keys(of, word, n)
+    rank = np.lexsort((w["line_no"], doc))
+    pick = np.zeros(lines, bool)
+    pick[rank[np.unique(k[rank], return_index=True)[1]]] = True
+    pos = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    sums = np.bincount(of * 128 + (B.mix(word) & np.uint64(127)).astype(np.int64), minlength=lines * 128).reshape(lines, 128)
+    sketch = np.packbits((sums & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    head = pick[of] & (pos <= n[of] - J.least_overlap(n[of]))
+    of, word, pos, much = of[head], word[head], pos[head], much[head]
+    out = np.zeros(len(of), _ENTRY)
+    out["doc"], out["line"], out["n"], out["pos"], out["s"], out["t"] = doc[of], w["line_no"][of], n[of], pos, sketch[of, 0], sketch[of, 1]
     # The list of a frequent word is cut into blocks; each pair of blocks is a list of its own.
-    parts = 1 + (np.exp2(rare[(h & np.uint64(SLOTS - 1)).astype(np.int64)] / 8) / split).astype(np.int64)
+    parts = 1 + (np.exp2(much / 8) / split).astype(np.int64)
     many = np.flatnonzero(parts > 1)
     if len(many):
-        mine = (B.mix(out["doc"][many].view(np.uint64) * np.uint64(31) + out["line"][many]) % parts[many].astype(np.uint64)).astype(np.int64)
-        copies, names = [np.delete(out, many)], [np.delete(h, many)]
+        mine = (line_key(out["doc"][many], out["line"][many]).view(np.uint64) % parts[many].astype(np.uint64)).astype(np.int64)
+        copies, names = [np.delete(out, many)], [np.delete(word, many)]
         for j in range(int(parts[many].max())):
-            on = many[j < parts[many]]
-            a, b = np.minimum(mine[j < parts[many]], j), np.maximum(mine[j < parts[many]], j)
-            copies.append(out[on])
+            on = j < parts[many]
+            a, b = np.minimum(mine[on], j), np.maximum(mine[on], j)
+            copies.append(out[many[on]])
             with np.errstate(over="ignore"):
-                names.append(B.mix(h[on] + ((a << 32) + b + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        return np.concatenate(names), np.concatenate(copies)
-    return h, out
+                names.append(B.mix(word[many[on]] + ((a << 32) + b + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _WORD)
+        out, word = np.concatenate(copies), np.concatenate(names)
+    out["low"], out["high"] = word & np.uint64(0xFFFFFFFF), word >> np.uint64(32)
+    return out
 
 
-def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of an earlier line, index of a later one, indices of lines that stopped looking) within one bucket.
+def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of an earlier line, of a later one, distance of their sketches, indices of lines that stopped looking).
 
-    ``e`` is sorted by list, then by rank.
+    ``e`` is the bucket's entries, by list and then by rank.  Round d looks at the pairs that stand d apart in a list.
     """
     h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"].astype(np.uint64)
     new = np.append(True, h[1:] != h[:-1])
-    place = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    n, left = e["n"].astype(np.int64), e["n"].astype(np.int64) - e["pos"]
-    s8, s4, doc, line = e["s8"], e["s4"], e["doc"], e["line"]
-    found = np.zeros(len(e), np.int64)
-    active = np.flatnonzero(place >= 1)
-    early, late, stopped = [], [], []
-    d = 1
-    while len(active):
-        x = active - d
-        both = n[x] + n[active]
-        ok = 7 * np.minimum(left[x], left[active]) >= 3 * both
-        i, j = x[ok], active[ok]
-        both = both[ok]
-        apart = both - 2 * -(-3 * both // 7)  # the largest difference of two similar sets
-        ok = (np.bitwise_count(s8[i] ^ s8[j]).astype(np.int64) + np.bitwise_count(s4[i] ^ s4[j]) <= apart) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+    place = (np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]).astype(np.int32)
+    n = e["n"].astype(np.int32)
+    # 7 * min(left) >= 3 * (sum of sizes), as what each side allows against the other's size
+    allow, size = 7 * (n - e["pos"].astype(np.int32)) - 3 * n, 3 * n
+    s, t, doc, line = (e[c].copy() for c in ("s", "t", "doc", "line"))
+    found = np.zeros(len(e), np.int32)
+    early, late, apart, stopped = ([np.zeros(0, np.int64)] for _ in range(4))
+    active, d = None, 1
+    while True:
+        if active is None:  # most lists are short: whole arrays against themselves moved by d
+            j = np.flatnonzero((place[d:] >= d) & (allow[:-d] >= size[d:]) & (allow[d:] >= size[:-d])) + d if d < len(e) else np.zeros(0, np.int64)
+        else:
+            x = active - d
+            j = active[(allow[x] >= size[active]) & (allow[active] >= size[x])]
+        i = j - d
+        both = n[i].astype(np.int64) + n[j]
+        ham = np.bitwise_count(s[i] ^ s[j]).astype(np.int64) + np.bitwise_count(t[i] ^ t[j])
+        ok = (ham <= both - 2 * -(-3 * both // 7)) & ((doc[i] != doc[j]) | (line[i] != line[j]))
         early.append(i[ok])
         late.append(j[ok])
+        apart.append(ham[ok])
         found[j[ok]] += 1
         d += 1
-        more = active[place[active] >= d]
-        full = found[more] >= enough
-        stopped.append(more[full])
-        active = more[~full]
-    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (early, late, stopped))
+        if active is None and d <= 4:
+            if not (place >= d).any():
+                break
+            continue
+        active = np.flatnonzero(place >= d) if active is None else active[place[active] >= d]
+        full = found[active] >= enough
+        stopped.append(active[full])
+        active = active[~full]
+        if not len(active):
+            break
+    return tuple(np.concatenate(x) for x in (early, late, apart, stopped))
 
 
-_PAIR = "doc_a long, line_a int, doc_b long, line_b int"
+_PAIR = "doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean"
+
+
+def _offered(e: np.ndarray, enough: int, only: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs to verify of one bucket: a later line whose nearest partner is clearly near offers that one alone.
+
+    more says that a line has partners which it doesn't offer.
+    """
+    h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"].astype(np.uint64)
+    order = np.argsort(h)
+    h = h[order]
+    twice = np.append(False, h[1:] == h[:-1])
+    twice[:-1] |= twice[1:]
+    e = e[order[twice]]
+    e = e[np.lexsort((e["line"], e["doc"], h[twice]))]
+    early, late, apart, stopped = met(e, enough)
+    if only is not None:
+        want = J.marked(only, line_key(e["doc"][late], e["line"][late]))
+        early, late, apart, stopped = early[want], late[want], apart[want], stopped[:0]
+    doc, line = e["doc"], e["line"]
+    order = np.lexsort((line[early], doc[early], apart, line[late], doc[late]))
+    early, late, apart = early[order], late[order], apart[order]
+    differs = lambda c: c[1:] != c[:-1]
+    head = np.append(True, differs(doc[late]) | differs(line[late]))[: len(late)]
+    fresh = np.append(True, differs(doc[early]) | differs(line[early]))[: len(late)] | head
+    group = np.cumsum(head) - 1
+    both = e["n"][early].astype(np.int64) + e["n"][late]
+    near = apart <= np.minimum((both - 2 * -(-3 * both // 7)) // 2, 28)
+    alone = near[head][group] if only is None else np.zeros(len(late), bool)
+    others = np.bincount(group, weights=fresh, minlength=int(head.sum()))[group] > 1 if len(late) else head
+    take = np.where(alone, head, fresh)
+    cols = [doc[early][take], line[early][take], doc[late][take], line[late][take], apart[take], (alone & others)[take]]
+    k = len(stopped)
+    last = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(doc[stopped]), pa.array(line[stopped], pa.int32()), pa.nulls(k, pa.int32()), pa.array(np.ones(k, bool))]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c, t), x]) for c, t, x in zip(cols, kinds, last, strict=True)], names=["doc_a", "line_a", "doc_b", "line_b", "apart", "more"])
 
 
 def candidates(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, only: np.ndarray | None = None, split: int = SPLIT) -> DataFrame:
-    """Rows (doc_a, line_a, doc_b, line_b), a before b, that pass all filters; doc_a null where b stopped looking.
+    """Rows (doc_a, line_a, doc_b, line_b, apart, more), a before b, of pairs that pass all filters.
 
-    ``only``: a bitmap of the later lines wanted.
+    doc_a is null where b stopped looking.  With ``only``, a bitmap of later lines, all partners of these are offered.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[np.ndarray] = []
 
         def sent() -> pa.RecordBatch:
-            h, e = (np.concatenate(x) for x in zip(*held, strict=True))
-            e["low"], e["high"] = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) & np.uint64(0xFFFF)
-            return J.blob_batch(list(J.dealt(((h >> np.uint64(44)) % np.uint64(n_buckets)).astype(np.int32), e)))
+            e = np.concatenate(held)
+            h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"].astype(np.uint64)
+            return J.blob_batch(list(J.dealt((B.mix(h) % np.uint64(n_buckets)).astype(np.int32), e)))
 
         for batch in batches:
             ids = _ids(batch)
             for w in line_words(batch.column(1)):
-                k = _sets(w)[1]
-                # Of lines with one set only the first of those seen together can matter.
-                rank = np.lexsort((w["line_no"], ids[w["row"]]))
-                pick = np.zeros(len(k), bool)
-                pick[rank[np.unique(k[rank], return_index=True)[1]]] = True
-                held.append(entries_of(w, ids, rare, pick, split))
-                size += len(held[-1][0])
-                if size >= CHUNK:
+                held.append(entries_of(w, ids, rare, split))
+                if sum(map(len, held)) >= CHUNK:
                     yield sent()
-                    held, size = [], 0
+                    held = []
         if held:
             yield sent()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in J.by_bucket(batches, _ENTRY):
-            h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"].astype(np.uint64)
-            e = e[np.lexsort((e["line"], e["doc"], h))]
-            early, late, stopped = met(e, enough)
-            if only is not None:
-                want = J.marked(only, line_key(e["doc"][late], e["line"][late]))
-                early, late, stopped = early[want], late[want], stopped[:0]
-            cols = [e["doc"][early], e["line"][early], e["doc"][late], e["line"][late]]
-            if len(early):
-                both = np.unique(np.stack([c.astype(np.int64) for c in cols]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(both, (pa.int64(), pa.int32()) * 2, strict=True)], names=["doc_a", "line_a", "doc_b", "line_b"])
-            if len(stopped):
-                one = np.unique(np.stack([e["doc"][stopped], e["line"][stopped].astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(one.shape[1], pa.int64()), pa.nulls(one.shape[1], pa.int32()), pa.array(one[0]), pa.array(one[1], pa.int32())], names=["doc_a", "line_a", "doc_b", "line_b"])
+            got = _offered(e, enough, only)
+            if got.num_rows:
+                yield got
 
     bounded_batches(docs.sparkSession)
-    return J.routed(docs.mapInArrow(deal, "bucket int, blob binary")).mapInArrow(join, _PAIR).distinct()
+    return J.routed(docs.mapInArrow(deal, "bucket int, blob binary")).mapInArrow(join, _PAIR)
 
 
 def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -246,25 +280,33 @@ def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
         return B.mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)).view(np.int64)
 
 
-def line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows (doc, line_no, v) for the lines (doc, line_no) wanted, made again from the texts."""
+def _bits(rows: DataFrame, doc: str, line: str | None = None) -> np.ndarray:
+    """Bitmap of documents, or of lines, of ``rows``."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(line_key(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["q"])
+            d = np.asarray(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(line_key(d, np.asarray(b.column(1)) if line else np.zeros(len(d), np.int64)))], names=["q"])
 
-    bits = J.bitmap(lines.select("doc", "line_no").mapInArrow(keyed, "q long"), "q")
+    return J.bitmap(rows.select(doc, *([line] if line else [])).mapInArrow(keyed, "q long"), "q")
+
+
+def line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows (doc, line_no, v) for the lines (doc, line_no) wanted, made again from the texts."""
+    doc_bits, bits = _bits(lines, "doc"), _bits(lines, "doc", "line_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _ids(batch)
-            for w in line_words(batch.column(1)):
+            rows = np.flatnonzero(J.marked(doc_bits, line_key(ids, np.zeros(len(ids), np.int64))))
+            ids = ids[rows]
+            for w in line_words(batch.column(1).take(pa.array(rows))):
                 doc = ids[w["row"]]
                 hit = np.flatnonzero(J.marked(bits, line_key(doc, w["line_no"])))
                 if len(hit):
                     n = np.bincount(w["of"], minlength=len(doc))
                     last = np.cumsum(n)
-                    v = [w["words"][last[i] - n[i] : last[i]].view(np.int64) for i in hit]
+                    v = [np.unique(w["h"][last[i] - n[i] : last[i]]).view(np.int64) for i in hit]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(w["line_no"][hit], pa.int32()), pa.array(v, pa.list_(pa.int64()))], names=["doc", "line_no", "v"])
 
     made = docs.mapInArrow(run, "doc long, line_no int, v array<long>")
@@ -276,11 +318,31 @@ def _held(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line_no")).unionByName(pairs.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no"))).distinct()
     sets = stored(line_sets(docs, stored(ends)))
     a, b = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("line_no").alias(f"line_{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
-    both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
+    both = pairs.select("doc_a", "line_a", "doc_b", "line_b").join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
     overlap: Column = F.size(F.array_intersect("va", "vb"))
     return both.where(J.reaches(overlap, F.size("va"), F.size("vb"))).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")).distinct()
 
 
+def _similar(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, split: int) -> DataFrame:
+    """Distinct (doc, line_no) of lines that have a similar earlier line of another set."""
+    pairs = stored(candidates(docs, rare, n_buckets, enough, split=split))
+    later = [F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")]
+    # First the nearest partner of each line, then the others of lines whose nearest doesn't hold.
+    best = pairs.where(F.col("doc_a").isNotNull()).groupBy("doc_b", "line_b").agg(F.min(F.struct("apart", "doc_a", "line_a")).alias("p"))
+    gone = stored(_held(docs, stored(best.select("p.doc_a", "p.line_a", "doc_b", "line_b"))))
+    left = stored(pairs.join(gone.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"], "left_anti"))
+    others = stored(left.where(F.col("doc_a").isNotNull()).select("doc_a", "line_a", "doc_b", "line_b").distinct())
+    if not others.isEmpty():
+        gone = stored(gone.unionByName(_held(docs, others)).distinct())
+    # Lines that didn't offer all their partners, and of which none holds so far, are looked at in full.
+    rest = stored(left.where("more").select(*later).distinct().join(gone, ["doc", "line_no"], "left_anti"))
+    if not rest.isEmpty():
+        full = candidates(docs, rare, n_buckets, 1 << 30, _bits(rest, "doc", "line_no"), split)
+        full = full.join(rest.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"])
+        gone = gone.unionByName(_held(docs, stored(full.select("doc_a", "line_a", "doc_b", "line_b").distinct()))).distinct()
+    return gone
+
+
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", enough: int = ENOUGH, split: int = SPLIT) -> DataFrame:
     """Rows (doc_id, line_no, start, end, reason): each line that an earlier one matches.
 
@@ -294,15 +356,7 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", eno
     rare = rarity(table)
     lines = table.where(F.col("page").isNull()).select("doc", "line_no", "start", "end", "n", "k")
     total = lines.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
-    n_buckets = J.buckets(total)
-    pairs = stored(candidates(narrow, rare, n_buckets, enough, split=split))
-    real = pairs.where(F.col("doc_a").isNotNull())
-    gone = stored(_held(narrow, real))
-    # Lines that stopped looking though none of what they had found holds look on, at everything.
-    rest = stored(pairs.where(F.col("doc_a").isNull()).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")).join(gone, ["doc", "line_no"], "left_anti"))
-    if not rest.isEmpty():
-        more = _later(narrow, rare, n_buckets, rest, split)
-        gone = gone.unionByName(more).distinct()
+    gone = _similar(narrow, rare, J.buckets(total), enough, split)
     first = lines.groupBy("k").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("times"))
     again = first.where(F.col("times") > 1)
     # A class's later members go with its first, or for its sake.
@@ -313,17 +367,6 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", eno
     return out.select(known.alias("doc_id"), "line_no", "start", "end", "reason")
 
 
-def _later(docs: DataFrame, rare: np.ndarray, n_buckets: int, rest: DataFrame, split: int) -> DataFrame:
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(line_key(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["q"])
-
-    only = J.bitmap(rest.mapInArrow(keyed, "q long"), "q")
-    pairs = candidates(docs, rare, n_buckets, 1 << 40, only, split)
-    pairs = stored(pairs.join(rest.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"]).select("doc_a", "line_a", "doc_b", "line_b"))
-    return stored(_held(docs, pairs))
-
-
 def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the later lines taken out of ``text``, each with its line feed; rows and columns stay."""
     gone = later_lines(docs, doc_id, text).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone")).withColumnRenamed("doc_id", "__of")
