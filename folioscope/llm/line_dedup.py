@@ -30,8 +30,11 @@ LEAST_WORDS = 5
 SLOTS, PAGE = 1 << 20, 4096
 #: Entries of a list from which on it is cut into blocks, and entries that a task sends together.
 SPLIT, CHUNK = 1 << 20, 400_000
-#: Earlier partners that pass the filters after which a line looks for no more in a list, unless none of them holds.
-ENOUGH = 16
+#: Earlier partners that pass the filters, or that are clearly near, after which a line looks for no more in a list, unless
+#: none of them holds; and how many a line with clearly near ones offers from each bucket.
+ENOUGH, ENOUGH_NEAR, OFFERED, FULL = 256, 4, 2, 1 << 30
+#: Documents up to which those that hold candidates are broadcast to filter the texts that are read again.
+FEW = 200_000
 #: Lines looked at together: a sort key has 16 bits for the line, 8 for rarity and 40 for the word.
 LINES, WORD_BITS = 1 << 16, 40
 NO_ID = np.int64(2**63 - 1)
@@ -172,7 +175,7 @@ def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     # 7 * min(left) >= 3 * (sum of sizes), as what each side allows against the other's size
     allow, size = 7 * (n - e["pos"].astype(np.int32)) - 3 * n, 3 * n
     s, t, doc, line = (e[c].copy() for c in ("s", "t", "doc", "line"))
-    found = np.zeros(len(e), np.int32)
+    found, close = np.zeros(len(e), np.int32), np.zeros(len(e), np.int32)
     early, late, apart, stopped = ([np.zeros(0, np.int64)] for _ in range(4))
     active, d = None, 1
     while True:
@@ -189,13 +192,14 @@ def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         late.append(j[ok])
         apart.append(ham[ok])
         found[j[ok]] += 1
+        close[j[ok]] += _near(ham[ok], both[ok])
         d += 1
         if active is None and d <= 4:
             if not (place >= d).any():
                 break
             continue
         active = np.flatnonzero(place >= d) if active is None else active[place[active] >= d]
-        full = found[active] >= enough
+        full = (found[active] >= enough) | ((close[active] >= ENOUGH_NEAR) & (enough < FULL))
         stopped.append(active[full])
         active = active[~full]
         if not len(active):
@@ -207,17 +211,24 @@ _PAIR = "doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean
 
 
 def _offered(e: np.ndarray, enough: int, only: np.ndarray | None) -> pa.RecordBatch:
-    """Pairs to verify of one bucket: a later line whose nearest partner is clearly near offers that one alone.
+    """Pairs to verify of one bucket: a later line with clearly near partners offers the nearest of them, another all.
 
     more says that a line has partners which it doesn't offer.
     """
     h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"].astype(np.uint64)
     order = np.argsort(h)
     h = h[order]
-    twice = np.append(False, h[1:] == h[:-1])
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    twice = ~new
     twice[:-1] |= twice[1:]
-    e = e[order[twice]]
-    e = e[np.lexsort((e["line"], e["doc"], h[twice]))]
+    order, lists = order[twice], (np.cumsum(new) - 1)[twice].astype(np.uint64)
+    # By list, then by rank: ranks are made dense so that both fit one key.
+    doc, line = e["doc"][order], e["line"][order].astype(np.int64)
+    small = len(doc) and doc.min() >= 0 and doc.max() < 1 << 42 and line.max() < 1 << 20
+    by = np.argsort(doc << 20 | line) if small else np.lexsort((line, doc))
+    rank = np.empty(len(by), np.uint64)
+    rank[by] = np.arange(len(by), dtype=np.uint64)
+    e = e[order[np.argsort(lists << np.uint64(32) | rank)]]
     early, late, apart, stopped = met(e, enough)
     if only is not None:
         want = J.marked(only, line_key(e["doc"][late], e["line"][late]))
@@ -228,19 +239,25 @@ def _offered(e: np.ndarray, enough: int, only: np.ndarray | None) -> pa.RecordBa
     differs = lambda c: c[1:] != c[:-1]
     head = np.append(True, differs(doc[late]) | differs(line[late]))[: len(late)]
     fresh = np.append(True, differs(doc[early]) | differs(line[early]))[: len(late)] | head
+    early, late, apart, head = early[fresh], late[fresh], apart[fresh], head[fresh]
+    first = np.flatnonzero(head)
     group = np.cumsum(head) - 1
-    both = e["n"][early].astype(np.int64) + e["n"][late]
-    near = apart <= np.minimum((both - 2 * -(-3 * both // 7)) // 2, 28)
-    alone = near[head][group] if only is None else np.zeros(len(late), bool)
-    others = np.bincount(group, weights=fresh, minlength=int(head.sum()))[group] > 1 if len(late) else head
-    take = np.where(alone, head, fresh)
-    cols = [doc[early][take], line[early][take], doc[late][take], line[late][take], apart[take], (alone & others)[take]]
+    near = _near(apart, e["n"][early].astype(np.int64) + e["n"][late])[first][group] if only is None else np.zeros(len(late), bool)
+    place = np.arange(len(late)) - first[group]
+    take = ~near | (place < OFFERED)
+    more = near & (np.bincount(group, minlength=len(first))[group] > OFFERED)
+    cols = [doc[early][take], line[early][take], doc[late][take], line[late][take], apart[take], more[take]]
     k = len(stopped)
     last = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(doc[stopped]), pa.array(line[stopped], pa.int32()), pa.nulls(k, pa.int32()), pa.array(np.ones(k, bool))]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c, t), x]) for c, t, x in zip(cols, kinds, last, strict=True)], names=["doc_a", "line_a", "doc_b", "line_b", "apart", "more"])
 
 
+def _near(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sketches are so near that their sets are most likely similar, for sets of ``both`` words together."""
+    return apart <= np.minimum((both - 2 * -(-3 * both // 7)) // 2, 28)
+
+
 def candidates(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, only: np.ndarray | None = None, split: int = SPLIT) -> DataFrame:
     """Rows (doc_a, line_a, doc_b, line_b, apart, more), a before b, of pairs that pass all filters.
 
@@ -309,7 +326,10 @@ def line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
                     v = [np.unique(w["h"][last[i] - n[i] : last[i]]).view(np.int64) for i in hit]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(w["line_no"][hit], pa.int32()), pa.array(v, pa.list_(pa.int64()))], names=["doc", "line_no", "v"])
 
-    made = docs.mapInArrow(run, "doc long, line_no int, v array<long>")
+    known = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    of = lines.select(F.col("doc").alias("__doc")).distinct()
+    some = docs.join(F.broadcast(of), known == F.col("__doc"), "left_semi") if of.limit(FEW + 1).count() <= FEW else docs
+    made = some.mapInArrow(run, "doc long, line_no int, v array<long>")
     return made.join(lines.select("doc", "line_no"), ["doc", "line_no"])
 
 
@@ -337,7 +357,7 @@ def _similar(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, spl
     # Lines that didn't offer all their partners, and of which none holds so far, are looked at in full.
     rest = stored(left.where("more").select(*later).distinct().join(gone, ["doc", "line_no"], "left_anti"))
     if not rest.isEmpty():
-        full = candidates(docs, rare, n_buckets, 1 << 30, _bits(rest, "doc", "line_no"), split)
+        full = candidates(docs, rare, n_buckets, FULL, _bits(rest, "doc", "line_no"), split)
         full = full.join(rest.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"])
         gone = gone.unionByName(_held(docs, stored(full.select("doc_a", "line_a", "doc_b", "line_b").distinct()))).distinct()
     return gone

@@ -32,7 +32,8 @@ def buckets(entries: int) -> int:
 
 def dealt(bucket: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed entries) of a structured array, bucket by bucket."""
-    order = np.argsort(bucket, kind="stable")
+    small = len(bucket) and bucket.max() < 1 << 16  # 16-bit keys are sorted by radix
+    order = np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
     bucket, entries = bucket[order], entries[order]
     cut = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip(np.append(0, cut), np.append(cut, len(bucket)), strict=True):

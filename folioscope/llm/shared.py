@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,34 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Rows and bytes of an Arrow batch at most, so that a worker's memory doesn't grow with long texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset (tests on one machine) it is set to a new temporary folder.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("folioscope.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        place = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-        spark.conf.set("folioscope.checkpoint.dir", place)
-    return place
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: this cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folioscope/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+from ..storage import nullable, shared_dir, stored
 
+__all__ = ["add_columns", "bounded_batches", "documents", "fold", "nullable", "shared_dir", "stored"]
 
-def nullable(schema: StructType) -> StructType:
-    return StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
+#: Rows and bytes of an Arrow batch at most, so that a worker's memory doesn't grow with long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
