@@ -173,7 +173,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                 except (ET.ParseError, ValueError) as e:
                     rows = [base | {"error": str(e)}]
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")] + ["congress_text"], dtype=object)
-                yield out.drop(columns="congress")
+                yield out.where(out.notna(), None).drop(columns="congress")
 
     from ..functions.text import congress_number
 

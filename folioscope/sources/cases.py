@@ -11,16 +11,19 @@ _PLACE = r"p\.?\s*(\d+)\s*L\s*(\d+)(?:\s*[–-]\s*p\.?\s*(\d+)\s*L\s*(\d+))?"
 def load(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("wholetext", "true").text(path)
     part = text.select(F.explode(F.split("value", r"(?m)^## Case (?=\d)")).alias("c")).where(F.col("c").rlike(r"\A\d+ — "))
-    return parse(part)
+    rows = parse(part)
+    if not rows.where("change_type IS NULL").isEmpty():
+        raise ValueError("a case has no type")
+    return rows
 
 
 def parse(part: DataFrame) -> DataFrame:
-    """Of rows (c), a case's text: number, title, change_type and places; a case without a type fails."""
+    """Of rows (c), a case's text: number, title, change_type and places."""
     field = lambda name: F.trim(F.regexp_extract("c", rf"(?m)^\*\*{name}:\*\*[ ]*(.*)$", 1))
     kind = F.lower(F.regexp_extract(field("Type"), r"([A-Za-z]+)", 1))
     return part.select(
         F.regexp_extract("c", r"\A(\d+)", 1).cast("int").alias("number"), F.regexp_extract("c", r"\A\d+ — (.*)", 1).alias("title"),
-        F.when(kind != "", kind).otherwise(F.raise_error(F.lit("case without a type"))).alias("change_type"),
+        F.nullif(kind, F.lit("")).alias("change_type"),
         location(field("v1 location")).alias("v1_location"), location(field("v2 location")).alias("v2_location"),
         F.nullif(field("Net"), F.lit("")).alias("expected_net"),
     )
