@@ -92,9 +92,6 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.shorter = [self._shorter(b) for b in self.bytes_of]
         self.compatible: dict[int, bool] = {}
-        decoded = [b or "".join(k for k, v in self.special.items() if v == i).encode() for i, b in enumerate(self.bytes_of)]
-        self.offset = np.array([0, *accumulate(map(len, decoded))], np.int64)
-        self.blob = np.frombuffer(b"".join(decoded), np.uint8)
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pre = regex.compile(PATTERN)
         self.memory = _Memory(self.encode_bytes)
@@ -108,7 +105,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 1 << 20:
+            if len(self.compatible) >= 1 << 18:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(a, b, len(self.rank))
         return known
@@ -187,8 +184,20 @@ class Vocabulary:
         look = self.memory.__getitem__
         return b"".join([b"".join(map(look, self.pre.findall(p))) for p in pieces(text)])
 
+
+class Decoder:
+    """The bytes of all tokens end to end, and where each begins."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        of = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        of |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+        tokens = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.offset = np.array([0, *accumulate(map(len, tokens))], np.int64)
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of the decoded text, bytes that aren't UTF-8 replaced as the library does."""
         if not len(ids):
             return b""
         lens = self.offset[ids + 1] - self.offset[ids]
@@ -216,6 +225,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 @lru_cache(maxsize=4)
 def _library(path: str):
     from tokenizers import Tokenizer
@@ -242,10 +256,13 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """Adds ``text``, decoded from ``ids`` with special tokens kept; null ids decode to empty text."""
+    """Adds ``text``, decoded from ``ids`` with special tokens kept; null ids decode to empty text.
+
+    Bytes that aren't UTF-8 are replaced as the library does.
+    """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        v = vocabulary(path)
+        v = decoder(path)
         raw = (x.as_py() or b"" for x in batch.column(batch.schema.get_field_index(ids)))
         return {text: pa.array([v.decode(np.frombuffer(x, "<u4").astype(np.int64)).decode("utf-8", "replace") for x in raw], pa.string())}
 

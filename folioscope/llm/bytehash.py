@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Words longer than this many bytes are hashed by BLAKE2b, so that no window has to hold them.
 LONG_WORD = 4096
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from .shared import add_columns, bounded_batches, fold, stored
+from .shared import add_columns, bounded_batches, fold, lean, stored
 
 UNKNOWN = "und"
 #: Distinct trigrams that the models keep together, those with the largest counts; and languages, those with the most.
@@ -105,7 +105,7 @@ def count_trigrams(docs: DataFrame, lang: str = "lang", text: str = "text") -> D
                     size = 0
         yield from flush()
 
-    return docs.select(F.col(lang).cast("string").alias("lang"), text).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(lang).cast("string").alias("lang"), text).mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructField
 
 from . import bytehash as B
 from . import setjoin as J
-from .shared import add_columns, bounded_batches, stored
+from .shared import add_columns, bounded_batches, lean, stored
 
 #: Lines of fewer words are left alone.
 LEAST_WORDS = 5
@@ -32,11 +32,11 @@ SLOTS, PAGE = 1 << 20, 4096
 SPLIT, CHUNK = 1 << 20, 400_000
 #: Earlier partners that pass the filters, or that are clearly near, after which a line looks for no more in a list, unless
 #: none of them holds; and how many a line with clearly near ones offers from each bucket.
-ENOUGH, ENOUGH_NEAR, OFFERED, FULL = 256, 4, 2, 1 << 30
+ENOUGH, ENOUGH_NEAR, OFFERED, FULL = 256, 4, 1, 1 << 30
 #: Documents up to which those that hold candidates are broadcast to filter the texts that are read again.
 FEW = 200_000
-#: Lines looked at together: a sort key has 16 bits for the line, 8 for rarity and 40 for the word.
-LINES, WORD_BITS = 1 << 16, 40
+#: Lines looked at together, at most 2**16: a sort key has 16 bits for the line, 8 for rarity and 40 for the word.
+LINES, WORD_BITS = 1 << 13, 40
 NO_ID = np.int64(2**63 - 1)
 _WORD = np.uint64((1 << WORD_BITS) - 1)
 _ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("s", "<u8"), ("t", "<u8")])
@@ -105,7 +105,7 @@ def line_table(docs: DataFrame) -> DataFrame:
         blobs = [np.minimum(table[p * PAGE : (p + 1) * PAGE], 2**32 - 1).astype("<u4").tobytes() for p in pages]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(pages), t) for t in kinds[:6]], pa.array(pages, kinds[6]), pa.array(blobs, kinds[7])], names=names)
 
-    return docs.mapInArrow(run, "doc long, line_no int, start long, end long, n int, k long, page int, counts binary")
+    return docs.mapInArrow(lean(run), "doc long, line_no int, start long, end long, n int, k long, page int, counts binary")
 
 
 def _slot(word: np.ndarray) -> np.ndarray:
@@ -124,14 +124,21 @@ def rarity(table: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(logs, pa.binary())], names=["page", "logs"])
 
     out = np.zeros(SLOTS, np.uint8)
-    for r in table.where(F.col("page").isNotNull()).select("page", "counts").repartition("page").mapInArrow(add, "page int, logs binary").collect():
+    for r in table.where(F.col("page").isNotNull()).select("page", "counts").repartition("page").mapInArrow(lean(add), "page int, logs binary").collect():
         out[r["page"] * PAGE : (r["page"] + 1) * PAGE] = np.frombuffer(bytes(r["logs"]), np.uint8)
     return out
 
 
-def entries_of(w: dict[str, np.ndarray], ids: np.ndarray, rare: np.ndarray, split: int) -> np.ndarray:
-    """Entries of the prefixes of the lines, of lines with one set only those of the first."""
+def entries_of(w: dict[str, np.ndarray], ids: np.ndarray, rare: np.ndarray, split: int, only: np.ndarray | None = None) -> np.ndarray:
+    """Entries of the prefixes of the lines, of lines with one set only those of the first.  ``only``: a bitmap of words."""
     word = w["h"] >> np.uint64(24)
+    if only is not None:
+        use = np.bincount(w["of"][J.marked(only, word)], minlength=len(w["row"])) > 0
+        if not use.any():
+            return np.zeros(0, _ENTRY)
+        on, at = use[w["of"]], np.cumsum(use) - 1
+        w = {k: v[on] if k in ("h", "of") else v[use] for k, v in w.items()}
+        w["of"], word = at[w["of"]], word[on]
     of, word, n = _distinct(w, rare[_slot(word)].astype(np.uint64) << np.uint64(WORD_BITS) | word)
     much, word = (word >> np.uint64(WORD_BITS)).astype(np.int64), word & _WORD
     doc, lines = ids[w["row"]], len(n)
@@ -143,6 +150,8 @@ def entries_of(w: dict[str, np.ndarray], ids: np.ndarray, rare: np.ndarray, spli
     sums = np.bincount(of * 128 + (B.mix(word) & np.uint64(127)).astype(np.int64), minlength=lines * 128).reshape(lines, 128)
     sketch = np.packbits((sums & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
     head = pick[of] & (pos <= n[of] - J.least_overlap(n[of]))
+    if only is not None:
+        head &= J.marked(only, word)
     of, word, pos, much = of[head], word[head], pos[head], much[head]
     out = np.zeros(len(of), _ENTRY)
     out["doc"], out["line"], out["n"], out["pos"], out["s"], out["t"] = doc[of], w["line_no"][of], n[of], pos, sketch[of, 0], sketch[of, 1]
@@ -255,13 +264,14 @@ def _offered(e: np.ndarray, enough: int, only: np.ndarray | None) -> pa.RecordBa
 
 def _near(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
     """Whether sketches are so near that their sets are most likely similar, for sets of ``both`` words together."""
-    return apart <= np.minimum((both - 2 * -(-3 * both // 7)) // 2, 28)
+    return apart <= np.minimum((both - 2 * -(-3 * both // 7)) // 3, 14)
 
 
-def candidates(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, only: np.ndarray | None = None, split: int = SPLIT) -> DataFrame:
+def candidates(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, only: np.ndarray | None = None, split: int = SPLIT, words: np.ndarray | None = None) -> DataFrame:
     """Rows (doc_a, line_a, doc_b, line_b, apart, more), a before b, of pairs that pass all filters.
 
-    doc_a is null where b stopped looking.  With ``only``, a bitmap of later lines, all partners of these are offered.
+    doc_a is null where b stopped looking.  With ``only``, a bitmap of later lines, all partners of these are offered; with
+    ``words``, a bitmap too, only lists of these words are made.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +285,11 @@ def candidates(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, o
         for batch in batches:
             ids = _ids(batch)
             for w in line_words(batch.column(1)):
-                held.append(entries_of(w, ids, rare, split))
+                held.append(entries_of(w, ids, rare, split, words))
                 if sum(map(len, held)) >= CHUNK:
                     yield sent()
                     held = []
-        if held:
+        if sum(map(len, held)):
             yield sent()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +299,7 @@ def candidates(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, o
                 yield got
 
     bounded_batches(docs.sparkSession)
-    return J.routed(docs.mapInArrow(deal, "bucket int, blob binary")).mapInArrow(join, _PAIR)
+    return J.routed(docs.mapInArrow(lean(deal), "bucket int, blob binary")).mapInArrow(lean(join), _PAIR)
 
 
 def line_key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -305,7 +315,7 @@ def _bits(rows: DataFrame, doc: str, line: str | None = None) -> np.ndarray:
             d = np.asarray(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(line_key(d, np.asarray(b.column(1)) if line else np.zeros(len(d), np.int64)))], names=["q"])
 
-    return J.bitmap(rows.select(doc, *([line] if line else [])).mapInArrow(keyed, "q long"), "q")
+    return J.bitmap(rows.select(doc, *([line] if line else [])).mapInArrow(lean(keyed), "q long"), "q")
 
 
 def line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -326,13 +336,32 @@ def line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
                     v = [np.unique(w["h"][last[i] - n[i] : last[i]]).view(np.int64) for i in hit]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(w["line_no"][hit], pa.int32()), pa.array(v, pa.list_(pa.int64()))], names=["doc", "line_no", "v"])
 
-    known = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    of = lines.select(F.col("doc").alias("__doc")).distinct()
-    some = docs.join(F.broadcast(of), known == F.col("__doc"), "left_semi") if of.limit(FEW + 1).count() <= FEW else docs
-    made = some.mapInArrow(run, "doc long, line_no int, v array<long>")
+    made = _documents_of(docs, lines).mapInArrow(lean(run), "doc long, line_no int, v array<long>")
     return made.join(lines.select("doc", "line_no"), ["doc", "line_no"])
 
 
+def _documents_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The texts that hold the lines (doc, line_no), or more: few ids are broadcast, for many all texts are looked at."""
+    of = lines.select(F.col("doc").alias("__doc")).distinct()
+    known = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    return docs.join(F.broadcast(of), known == F.col("__doc"), "left_semi") if of.limit(FEW + 1).count() <= FEW else docs
+
+
+def prefix_words(docs: DataFrame, lines: DataFrame, rare: np.ndarray) -> DataFrame:
+    """Rows (word): the words of the prefixes of the lines (doc, line_no), and maybe of others."""
+    bits = _bits(lines, "doc", "line_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _ids(batch)
+            for w in line_words(batch.column(1)):
+                e = entries_of(w, ids, rare, 1 << 62)
+                e = e[J.marked(bits, line_key(e["doc"], e["line"]))]
+                yield pa.RecordBatch.from_arrays([pa.array(e["high"].astype(np.int64) << 32 | e["low"])], names=["word"])
+
+    return _documents_of(docs, lines).mapInArrow(lean(run), "word long").distinct()
+
+
 def _held(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct (doc, line_no) of the later lines of pairs that are similar."""
     ends = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line_no")).unionByName(pairs.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no"))).distinct()
@@ -349,15 +378,19 @@ def _similar(docs: DataFrame, rare: np.ndarray, n_buckets: int, enough: int, spl
     later = [F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")]
     # First the nearest partner of each line, then the others of lines whose nearest doesn't hold.
     best = pairs.where(F.col("doc_a").isNotNull()).groupBy("doc_b", "line_b").agg(F.min(F.struct("apart", "doc_a", "line_a")).alias("p"))
-    gone = stored(_held(docs, stored(best.select("p.doc_a", "p.line_a", "doc_b", "line_b"))))
-    left = stored(pairs.join(gone.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"], "left_anti"))
+    best = stored(best.select("p.doc_a", "p.line_a", "doc_b", "line_b"))
+    gone = stored(_held(docs, best))
+    open_ = stored(best.select(*later).join(gone, ["doc", "line_no"], "left_anti"))
+    left = stored(pairs.join(open_.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"], "left_semi"))
     others = stored(left.where(F.col("doc_a").isNotNull()).select("doc_a", "line_a", "doc_b", "line_b").distinct())
     if not others.isEmpty():
         gone = stored(gone.unionByName(_held(docs, others)).distinct())
-    # Lines that didn't offer all their partners, and of which none holds so far, are looked at in full.
+    # Lines that didn't offer all their partners, and of which none holds so far, are looked at in full: the lists of
+    # their own prefixes alone are made again.
     rest = stored(left.where("more").select(*later).distinct().join(gone, ["doc", "line_no"], "left_anti"))
     if not rest.isEmpty():
-        full = candidates(docs, rare, n_buckets, FULL, _bits(rest, "doc", "line_no"), split)
+        words = J.bitmap(prefix_words(docs, rest, rare), "word")
+        full = candidates(docs, rare, n_buckets, FULL, _bits(rest, "doc", "line_no"), split, words)
         full = full.join(rest.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"])
         gone = gone.unionByName(_held(docs, stored(full.select("doc_a", "line_a", "doc_b", "line_b").distinct()))).distinct()
     return gone

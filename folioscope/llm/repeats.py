@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from . import bytehash as B
-from .shared import add_columns, bounded_batches, nullable
+from .shared import add_columns, bounded_batches, lean, nullable
 
 #: Words on either side among which a cut has the least hash; no piece of a line has fewer than one more.
 REACH = 5
@@ -78,7 +78,7 @@ def unit_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     kinds = {"start": LongType(), "end": LongType(), "n_words": IntegerType(), "d1": LongType(), "d2": LongType()}
     schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *[StructField(k, t) for k, t in kinds.items()]])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, nullable(schema))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), nullable(schema))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

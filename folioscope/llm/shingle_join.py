@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField
 
 from . import bytehash as B
 from . import setjoin as J
-from .shared import add_columns, bounded_batches, stored
+from .shared import add_columns, bounded_batches, lean, stored
 
 WIDTH = 5
 #: Part of each set, first by hash, that the first test of shared shingles looks at.
@@ -177,9 +177,9 @@ def shared_counts(source: DataFrame, part: float, n_buckets: int) -> DataFrame:
             k, n = summed(e["k"].astype(np.int64), e["n"].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "shared"])
 
-    blobs = source.mapInArrow(deal, "bucket int, blob binary")
+    blobs = source.mapInArrow(lean(deal), "bucket int, blob binary")
     placed = blobs.repartition(F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    return J.routed(placed.mapInArrow(count, "bucket int, blob binary")).mapInArrow(add, "k long, shared long")
+    return J.routed(placed.mapInArrow(lean(count), "bucket int, blob binary")).mapInArrow(lean(add), "k long, shared long")
 
 
 def _enough(part: float):
@@ -203,7 +203,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame
                 part = got[i : i + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([v.view(np.int64) for _, v in part], pa.list_(pa.int64()))], names=["k", "v"])
 
-    made = docs.select(F.col(text).alias("text")).mapInArrow(run, "k long, v array<long>")
+    made = docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "k long, v array<long>")
     return made.join(wanted.select("k"), "k").groupBy("k").agg(F.first("v").alias("v"))
 
 
