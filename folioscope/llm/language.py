@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from .shared import add_columns, bounded_batches, fold, lean, stored
+from .shared import add_columns, bounded_batches, first_by_hash, fold, lean, stored
 
 UNKNOWN = "und"
 #: Distinct trigrams that the models keep together, those with the largest counts; and languages, those with the most.
@@ -227,7 +227,7 @@ def calibrate(models: dict[str, Model], docs: DataFrame, share: float = 0.999, m
     Of ``docs`` at most ``most`` rows, the first by a hash of their id, of 16 KB each at most, are looked at.
     """
     out = Identifier(models)
-    ids = docs.where(F.col("doc_id").isNotNull() & (F.octet_length(text) <= 1 << 14)).select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
+    ids = first_by_hash(docs.where(F.col("doc_id").isNotNull() & (F.octet_length(text) <= 1 << 14)).select("doc_id"), most, "doc_id")
     texts = [r[0] for r in docs.join(F.broadcast(ids.distinct()), "doc_id").where(F.octet_length(text) <= 1 << 14).select(text).limit(2 * most).collect()]
     if models and texts:
         n, h = out.cross_entropies(texts)

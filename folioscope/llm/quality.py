@@ -7,6 +7,7 @@ rest, and kept if it is precise there; the rows it covers are set aside and the
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from . import bytehash as B
-from .shared import add_columns, stored
+from .shared import add_columns, first_by_hash, stored
 
 #: What is counted of each text; the first five are the contract's.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_lines")
@@ -194,10 +195,14 @@ def verdict(rules: list[Rule]) -> Column:
 def learn_from(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
     """Rules from rows of ``stats`` that ``labels`` marks 0 (bad) or 1; null labels and ids take no part.
 
-    At most ``sample`` rows, the first by a hash of doc_id, come to the driver, each a row of numbers.
+    Of the labels ``sample`` ids at most, the first by a hash, are chosen and broadcast; their rows of numbers come to the
+    driver, twice as many at most where ids repeat.  Of several labels of one id the least counts.
     """
     marked = labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-    rows = stats.select("doc_id", *COUNTS).join(marked, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), *COUNTS, "label").limit(sample).toPandas()
+    chosen = first_by_hash(marked.groupBy("doc_id").agg(F.min("label").alias("label")), sample, "doc_id")
+    rows = stats.select("doc_id", *COUNTS).join(F.broadcast(chosen), "doc_id").limit(2 * sample).toPandas()
+    # In the order of a hash, so that growing and pruning parts are alike whatever order ids stand in
+    rows = rows.assign(h=[hashlib.md5(str(i).encode()).hexdigest() for i in rows["doc_id"]]).sort_values(["h", *COUNTS], kind="stable")  # noqa: S324
     counts = {c: rows[c].to_numpy(np.int64) for c in COUNTS}
     failed = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
     return learn_rules({c: v[~failed] for c, v in counts.items()}, (rows["label"] == 0).to_numpy()[~failed])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from . import bytehash as B
-from .shared import add_columns, fold
+from .shared import add_columns, first_by_hash, fold
 
 #: Labelled documents of each class that a model is fitted on, at most, and the most bytes of one of them.
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 14
@@ -151,7 +151,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, keep: object, label: str, v
     chosen = None
     for v in values:
         one = labels.where(F.col("doc_id").isNotNull() & (F.col(label) == v) & keep).groupBy("doc_id").agg(F.max(label).alias("label"))
-        one = one.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(each)
+        one = first_by_hash(one, each, "doc_id")
         chosen = one if chosen is None else chosen.unionByName(one)
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("label").alias("label"))), "doc_id")
     got = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "label").limit(4 * each * len(values)).toPandas().sort_values(["doc_id", "text"])
