@@ -9,7 +9,7 @@ _PLACE = r"p\.?\s*(\d+)\s*L\s*(\d+)(?:\s*[–-]\s*p\.?\s*(\d+)\s*L\s*(\d+))?"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     part = text.select(F.explode(F.split("value", r"(?m)^## Case (?=\d)")).alias("c")).where(F.col("c").rlike(r"\A\d+ — "))
     rows = parse(part)
     if not rows.where("change_type IS NULL").isEmpty():

@@ -13,7 +13,7 @@ SCHEMA = "doc_id string, version int, page int, raw string"
 
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("f"), F.col("value").alias("raw"))
     at = r"([^/]+)_(\d+)/(\d+)\.txt$"
     pick = lambda i: F.regexp_extract("f", at, i)
