@@ -1,11 +1,10 @@
 """Vectorised word hashing straight from Arrow string buffers.
 
-Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` (or of any other byte class handed in).  A word's hash is
-a polynomial over a 256-entry table of random 64-bit values, taken modulo 2**64 from running sums, then mixed; equal
-bytes give equal hashes on every executor, because all constants come from one fixed seed.
+Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]`` (or of any other byte class handed in).  A word is read in
+pieces of eight bytes, the last filled up with zeros; its length and its pieces are mixed one after the other.  Equal bytes
+give equal hashes on every executor, because all constants are fixed or come from one fixed seed.
 
-Memory is bounded by ``CHUNK``: callers see blocks of rows of about that many bytes, or a single longer row, and the
-running sums of a longer row are taken over windows of that size.
+Memory is bounded by ``CHUNK``: callers see blocks of rows of about that many bytes, or a single longer row.
 """
 
 from __future__ import annotations
@@ -17,13 +16,12 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 19
-#: Words longer than this many bytes are hashed by BLAKE2b, so that no window has to hold them.
+#: Words longer than this many bytes are hashed by BLAKE2b.
 LONG_WORD = 4096
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Keeps the first 0 to 8 bytes of a piece.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(int(_MUL), -1, 2**64))
-_POWERS: dict[str, np.ndarray] = {}
 _SHINGLE = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
@@ -45,15 +43,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _POWERS.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK + 1), base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[name] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def blocks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, start of each row, end of each row): rows follow each other with one ``\\n`` after each.
 
@@ -84,30 +73,27 @@ def blocks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarra
 
 def spans(buf: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes whose class is set in ``inside``."""
-    flag = np.zeros(len(buf) + 2, np.int8)
+    flag = np.zeros(len(buf) + 2, bool)
     flag[1:-1] = inside[buf]
-    step = np.diff(flag)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    turns = np.flatnonzero(flag[1:] != flag[:-1])
+    return turns[::2], turns[1::2]
 
 
 def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [s, e), which ascend and don't overlap."""
-    out = np.zeros(len(s), np.uint64)
-    i = 0
+    """64-bit hashes of the byte ranges [s, e), none of them empty."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    n = e - s
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    piece = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
     with np.errstate(over="ignore"):
-        while i < len(s):
-            lo = int(s[i])
-            j = int(np.searchsorted(e, lo + CHUNK, "right"))
-            if j <= i:
-                i += 1  # longer than a window, hashed below
-                continue
-            seg = buf[lo : int(e[j - 1])]
-            sums = np.zeros(len(seg) + 1, np.uint64)
-            np.cumsum(_BYTE[seg] * _powers("up", _MUL, len(seg)), out=sums[1:])
-            a, b = s[i:j] - lo, e[i:j] - lo
-            out[i:j] = mix((sums[b] - sums[a]) * _powers("down", _INV, len(seg) + 1)[a] + (b - a).astype(np.uint64) * _LENGTH)
-            i = j
-        for k in np.flatnonzero(e - s > LONG_WORD):
+        out = mix((piece[s] & _FIRST[np.minimum(n, 8)]) * _MUL + n.astype(np.uint64) * _LENGTH)
+        on, at = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+        while len(on):
+            left = n[on] - at
+            out[on] = mix(out[on] * _MUL + (piece[s[on] + at] & _FIRST[np.minimum(left, 8)]))
+            on, at = on[left > 8], at + 8
+        for k in np.flatnonzero(n > LONG_WORD):
             out[k] = np.frombuffer(hashlib.blake2b(buf[s[k] : e[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     return out
 
