@@ -30,11 +30,16 @@ def buckets(entries: int) -> int:
     return int(min(max(-(-entries // BUCKET), 256), 1 << 20))
 
 
+def taken(entries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``entries[at]`` of a structured array, moved as plain bytes, which is several times faster."""
+    return np.take(np.ascontiguousarray(entries).view(np.uint8).reshape(-1, entries.dtype.itemsize), at, axis=0).view(entries.dtype).ravel()
+
+
 def dealt(bucket: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed entries) of a structured array, bucket by bucket."""
     small = len(bucket) and bucket.max() < 1 << 16  # 16-bit keys are sorted by radix
     order = np.argsort(bucket.astype(np.uint16) if small else bucket, kind="stable")
-    bucket, entries = bucket[order], entries[order]
+    bucket, entries = bucket[order], taken(entries, order)
     cut = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip(np.append(0, cut), np.append(cut, len(bucket)), strict=True):
         if a < b:
