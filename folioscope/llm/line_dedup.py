@@ -216,6 +216,29 @@ def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in (early, late, apart, stopped))
 
 
+def met_by(e: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of an earlier line, of a later one, distance of their sketches) of all pairs whose later line is in ``want``.
+
+    ``e`` is as in ``met``; each wanted entry is held against all before it in its list at once.
+    """
+    h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"].astype(np.uint64)
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    n = e["n"].astype(np.int64)
+    allow = 7 * (n - e["pos"].astype(np.int64)) - 3 * n
+    s, t, doc, line = (e[c].copy() for c in ("s", "t", "doc", "line"))
+    early, late, apart = ([np.zeros(0, np.int64)] for _ in range(3))
+    for j in np.flatnonzero(want):
+        lo = starts[np.searchsorted(starts, j, "right") - 1]
+        i = lo + np.flatnonzero((allow[lo:j] >= 3 * n[j]) & (allow[j] >= 3 * n[lo:j]) & ((doc[lo:j] != doc[j]) | (line[lo:j] != line[j])))
+        both = n[i] + n[j]
+        ham = np.bitwise_count(s[i] ^ s[j]).astype(np.int64) + np.bitwise_count(t[i] ^ t[j])
+        ok = ham <= both - 2 * -(-3 * both // 7)
+        early.append(i[ok])
+        late.append(np.full(ok.sum(), j))
+        apart.append(ham[ok])
+    return tuple(np.concatenate(x) for x in (early, late, apart))
+
+
 _PAIR = "doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean"
 
 
@@ -237,11 +260,12 @@ def _offered(e: np.ndarray, enough: int, only: np.ndarray | None) -> pa.RecordBa
     by = np.argsort(doc << 20 | line) if small else np.lexsort((line, doc))
     rank = np.empty(len(by), np.uint64)
     rank[by] = np.arange(len(by), dtype=np.uint64)
-    e = e[order[np.argsort(lists << np.uint64(32) | rank)]]
-    early, late, apart, stopped = met(e, enough)
-    if only is not None:
-        want = J.marked(only, line_key(e["doc"][late], e["line"][late]))
-        early, late, apart, stopped = early[want], late[want], apart[want], stopped[:0]
+    e = J.taken(e, order[np.argsort(lists << np.uint64(32) | rank)])
+    if only is None:
+        early, late, apart, stopped = met(e, enough)
+    else:
+        early, late, apart = met_by(e, J.marked(only, line_key(e["doc"], e["line"])))
+        stopped = late[:0]
     doc, line = e["doc"], e["line"]
     order = np.lexsort((line[early], doc[early], apart, line[late], doc[late]))
     early, late, apart = early[order], late[order], apart[order]
