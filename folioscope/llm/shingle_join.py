@@ -49,9 +49,19 @@ def _part(n, part: float):
     return size, np.maximum(1, size - (n - need))
 
 
+def _partner_share(part: float) -> float:
+    """What the part of any partner leaves to share, for each shingle of a set.
+
+    A partner of m shares ceil(3/7 (n + m)) at least, of which its part of part * m or more misses at most the m - overlap that
+    come before.  That is linear in m, so it is least for the largest partner, 4/3 n, or the smallest, 3/4 n.
+    """
+    return min((4 * part - 1) / 3, 3 * part / 4)
+
+
 def least_shared(n, part: float):
-    """Shingles of its part that a set of ``n`` must share: no less than what its smallest possible partner's part asks."""
-    return _part(J.least_overlap(n), part)[1]
+    """Shingles of its part that a set of ``n`` must share: no more than the parts of both sides of any link leave."""
+    other = np.ceil(np.asarray(n) * _partner_share(part) - 1e-9).astype(np.int64)
+    return np.maximum(1, np.minimum(_part(n, part)[1], other))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,11 +193,11 @@ def shared_counts(source: DataFrame, part: float, n_buckets: int) -> DataFrame:
 
 
 def _enough(part: float):
-    """Column test: ``shared`` is what a set of ``n`` must share in its part, or more."""
-    need = lambda n: F.floor((3 * n + 3) / 4)
-    m = need(F.col("n"))
-    size = F.least(m, F.greatest(m - need(m) + 1, F.ceil(m * part)))
-    return F.col("shared") >= F.greatest(F.lit(1), size - (m - need(m)))
+    """Column test: ``shared`` is ``least_shared`` of a set of ``n``, or more."""
+    n = F.col("n")
+    need = F.floor((3 * n + 3) / 4)
+    own = F.least(n, F.greatest(n - need + 1, F.ceil(n * part))) - (n - need)
+    return F.col("shared") >= F.greatest(F.lit(1), F.least(own, F.ceil(n * _partner_share(part) - 1e-9)))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
