@@ -1,6 +1,7 @@
 """Language identification (operator 8): interpolated Kneser-Ney models of letters, one for each language.
 
-All training documents are counted on the executors; only counts of distinct trigrams come to the driver.  Models of order
+All training documents are counted on the executors; the counts of all distinct trigrams of each language, rare ones too,
+come to the driver and as models to the workers, so their memory grows with the number of these.  Models of order
 3 with absolute discounts and interpolated lower orders are stored as ascending arrays of packed code points beside log
 probabilities.  A text goes to the language of the lowest cross-entropy for each letter; it is marked as rejected where
 that is further above the language's own entropy than the calibrated number of standard errors.
@@ -20,8 +21,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 from .shared import add_columns, bounded_batches, first_by_hash, fold, lean, stored
 
 UNKNOWN = "und"
-#: Distinct trigrams that the models keep together, those with the largest counts; and languages, those with the most.
-GRAMS, LANGUAGES = 1 << 20, 256
+#: Log probabilities that the common table has at most; beyond it each model is asked, which gives the same.
+TABLE = 1 << 24
 #: Characters of texts looked at together.
 CHUNK = 1 << 19
 _BITS = 21
@@ -169,12 +170,13 @@ class Model:
 
 
 class Identifier:
-    """Models by language, and one table of all their trigrams so that a text's are looked up once."""
+    """Models by language, and while it is small one table of all their trigrams so that a text's are looked up once."""
 
     def __init__(self, models: dict[str, Model], limit: float = 6.0):
         self.names, self.models, self.limit = sorted(models), models, limit
-        self.keys = np.unique(np.concatenate([m.g3 for m in models.values()])) if models else np.zeros(0, np.int64)
-        self.table = np.stack([models[k].log_p(self.keys).astype(np.float32) for k in self.names], 1) if models else np.zeros((0, 0), np.float32)
+        small = 0 < len(models) * sum(len(m.g3) for m in models.values()) <= TABLE
+        self.keys = np.unique(np.concatenate([m.g3 for m in models.values()])) if small else np.zeros(0, np.int64)
+        self.table = np.stack([models[k].log_p(self.keys).astype(np.float32) for k in self.names], 1) if small else np.zeros((0, 0), np.float32)
         self.entropy = np.array([models[k].entropy for k in self.names])
         self.spread = np.array([models[k].spread for k in self.names])
 
@@ -184,11 +186,12 @@ class Identifier:
         n = np.bincount(owner, minlength=len(texts))
         at, hit = _find(self.keys, gram)
         miss = np.flatnonzero(~hit)
+        other, of = np.unique(gram[miss], return_inverse=True)
         out = np.zeros((len(texts), len(self.names)))
         for j, k in enumerate(self.names):
             p = self.table[at, j].astype(float) if len(self.keys) else np.zeros(len(gram))
             if len(miss):
-                p[miss] = self.models[k].log_p(gram[miss])
+                p[miss] = self.models[k].log_p(other).astype(np.float32)[of]
             out[:, j] = -np.bincount(owner, weights=p, minlength=len(texts)) / np.maximum(n, 1)
         return n, out
 
@@ -213,12 +216,12 @@ class Identifier:
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, Model]:
     """Models from every row of ``docs`` that has a language and letters."""
     counts = stored(count_trigrams(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), lang, text))
-    least = 1
-    while counts.where(F.col("n") >= least).count() > GRAMS:
-        least *= 2
-    rows = counts.where(F.col("n") >= least).select("lang", "gram", "n").toPandas()
-    most = rows.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable").index[:LANGUAGES]
-    return {k: Model(x["gram"].to_numpy(np.int64), x["n"].to_numpy(np.int64)) for k, x in rows[rows["lang"].isin(most)].groupby("lang")}
+    rows = counts.select("lang", "gram", "n").toArrow()
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    of, gram, n = np.asarray(names.indices), rows["gram"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(of, kind="stable")
+    at = np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+    return {k: Model(gram[order[a:b]], n[order[a:b]]) for k, a, b in zip(names.dictionary.to_pylist(), at[:-1], at[1:], strict=True)}
 
 
 def calibrate(models: dict[str, Model], docs: DataFrame, share: float = 0.999, most: int = 2000, text: str = "text") -> Identifier:

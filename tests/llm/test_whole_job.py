@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 
+from folioscope.llm import language, shingle_join
 from folioscope.llm import setjoin as J
-from folioscope.llm import shingle_join
 
 
 def test_first_test_keeps_every_size_of_a_link():
@@ -27,3 +27,24 @@ def test_short_documents_link_in_any_hash_order(spark):
         data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] if i % 2 else words[1:]))]
     got = {r.doc_id: r.component_id for r in shingle_join.link_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {i: i // 2 * 2 for i in range(240)}
+
+
+def test_rare_trigrams_stay_beside_a_large_script(spark):
+    rng = np.random.default_rng(1)
+    large = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 50_000))), "zz") for i in range(24)]
+    small = [(100, "tiny vessels of quartz", "aa"), (101, "jumbled foxes who think", "aa")]
+    models = language.fit(spark.createDataFrame([*large, *small], "doc_id long, text string, lang string").repartition(4))
+    want, n = np.unique(language.trigrams([t for _, t, _ in small])[0], return_counts=True)
+    assert len(models["zz"].g3) > 1 << 20 and models["aa"].g3.tolist() == want.tolist()
+    assert np.allclose(models["aa"].p3, language.Model(want, n).p3)
+    whole = language.Identifier(models)
+    assert whole.names[whole.cross_entropies(["tiny foxes"])[1][0].argmin()] == "aa"
+
+
+def test_the_common_table_changes_nothing(monkeypatch):
+    texts = {"aa": ["lo mi ra que", "mira lo"], "bb": ["schung ei tz"], "cc": ["ñá éö ou"]}
+    models = {k: language.Model(*np.unique(language.trigrams(t)[0], return_counts=True)) for k, t in texts.items()}
+    held = ["lo mi", "ei ou xyz", ""]
+    with_table = language.Identifier(models).cross_entropies(held)[1]
+    monkeypatch.setattr(language, "TABLE", 0)
+    assert (language.Identifier(models).cross_entropies(held)[1] == with_table).all()
