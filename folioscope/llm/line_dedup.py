@@ -24,8 +24,10 @@ from . import bytehash as B
 from . import setjoin as J
 from .shared import add_columns, bounded_batches, lean, stored
 
-#: Lines of fewer words are left alone.
-LEAST_WORDS = 5
+#: Lines of fewer words (none) are left alone.
+LEAST_WORDS = 1
+#: Sets of so many words are similar to equal sets only, so they take no part in the join.
+ALONE = 2
 #: Slots of the table of word counts, and of one of its pages.
 SLOTS, PAGE = 1 << 20, 4096
 #: Entries of a list from which on it is cut into blocks, and entries that a task sends together.
@@ -149,7 +151,7 @@ def entries_of(w: dict[str, np.ndarray], ids: np.ndarray, rare: np.ndarray, spli
     pos = np.arange(len(of)) - (np.cumsum(n) - n)[of]
     sums = np.bincount(of * 128 + (B.mix(word) & np.uint64(127)).astype(np.int64), minlength=lines * 128).reshape(lines, 128)
     sketch = np.packbits((sums & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8")
-    head = pick[of] & (pos <= n[of] - J.least_overlap(n[of]))
+    head = pick[of] & (n[of] > ALONE) & (pos <= n[of] - J.least_overlap(n[of]))
     if only is not None:
         head &= J.marked(only, word)
     of, word, pos, much = of[head], word[head], pos[head], much[head]
@@ -432,7 +434,7 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", eno
     table = stored(line_table(narrow))
     rare = rarity(table)
     lines = table.where(F.col("page").isNull()).select("doc", "line_no", "start", "end", "n", "k")
-    total = lines.agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
+    total = lines.where(F.col("n") > ALONE).agg(F.coalesce(F.sum(F.floor(F.col("n") / 4) + 1), F.lit(0))).first()[0]
     gone = _similar(narrow, rare, J.buckets(total), enough, split)
     first = lines.groupBy("k").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("times"))
     again = first.where(F.col("times") > 1)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from folioscope.llm import language, shingle_join
+from folioscope.llm import language, line_dedup, shingle_join
 from folioscope.llm import setjoin as J
 
 
@@ -48,3 +48,10 @@ def test_the_common_table_changes_nothing(monkeypatch):
     with_table = language.Identifier(models).cross_entropies(held)[1]
     monkeypatch.setattr(language, "TABLE", 0)
     assert (language.Identifier(models).cross_entropies(held)[1] == with_table).all()
+
+
+def test_short_lines_go_too(spark):
+    texts = ["Terms\na b c\nred fox", "terms\na b c d\nFox red red\n\nfox", "x\n\nc b a\nfox blue\nb c d e", "Fox\nx"]
+    got = line_dedup.later_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    same = {(1, 0), (1, 2), (2, 2), (3, 0), (3, 1)}
+    assert {(r.doc_id, r.line_no): r.reason for r in got} == dict.fromkeys(same, "same") | {(1, 1): "similar"}
