@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructField
 
 from . import bytehash as B
 from . import setjoin as J
-from .shared import add_columns, bounded_batches, lean, stored
+from .shared import add_columns, bounded_batches, lean, ranked, stored
 
 #: Lines of fewer words (none) are left alone.
 LEAST_WORDS = 1
@@ -447,9 +447,13 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", eno
 
 
 def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the later lines taken out of ``text``, each with its line feed; rows and columns stay."""
-    gone = later_lines(docs, doc_id, text).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone")).withColumnRenamed("doc_id", "__of")
-    both = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("__of")), "left").drop("__of")
+    """``docs`` with the later lines taken out of ``text``, each with its line feed; rows and columns stay.
+
+    Each row is a document of its own, also if its id is null or repeated; the id only ranks it, and equal ids rank in any order.
+    """
+    rows = ranked(docs, doc_id, "__row")
+    gone = later_lines(rows, "__row", text).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
+    both = rows.join(gone.withColumnRenamed("doc_id", "__of"), F.col("__row") == F.col("__of"), "left").drop("__of", "__row")
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out = []

@@ -9,11 +9,11 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 from ..storage import nullable, shared_dir, stored
 
-__all__ = ["add_columns", "bounded_batches", "documents", "first_by_hash", "fold", "lean", "nullable", "shared_dir", "stored"]
+__all__ = ["add_columns", "bounded_batches", "documents", "first_by_hash", "fold", "lean", "ranked", "nullable", "shared_dir", "stored"]
 
 #: Rows and bytes of an Arrow batch at most, so that a worker's memory doesn't grow with long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -73,6 +73,19 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def ranked(docs: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: a number of each row's own that rises with the id, null last.
+
+    Integer ids that are neither null nor repeated are these numbers; else rows are sorted, and written so that a row's number
+    stays the same.
+    """
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        odd = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull())
+        if odd.isEmpty():
+            return docs.withColumn(name, F.col(doc_id).cast("long"))
+    return stored(docs.orderBy(F.col(doc_id).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()))
+
+
 def first_by_hash(df: DataFrame, n: int, *ties: str) -> DataFrame:
     """The ``n`` rows of ``df`` whose doc_id is first by a hash.  Rows far beyond are dropped first, so that no task sends ``n``."""
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))

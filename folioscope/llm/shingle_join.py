@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StructField
 
 from . import bytehash as B
 from . import setjoin as J
-from .shared import add_columns, bounded_batches, lean, stored
+from .shared import add_columns, bounded_batches, lean, ranked, stored
 
 WIDTH = 5
 #: Part of each set, first by hash, that the first test of shared shingles looks at.
@@ -286,10 +286,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id.  All columns stay.
 
-    Of rows that repeat an id one stays.  Rows without an id go where their component has one with an id; where it has
-    none they are one document, like rows that repeat an id.
+    Each row is a document of its own, also if its id is null or repeated: unrelated texts stay.  Ids only rank, null last;
+    of a component's rows with the same smallest id any one stays.
     """
-    linked = stored(link_documents(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")))
-    ids = stored(linked.distinct())
-    out = docs.join(ids, docs[doc_id].eqNullSafe(F.col("__kept")), "left_semi")
-    return out if linked.count() == ids.count() else out.dropDuplicates([doc_id])
+    rows = ranked(docs, doc_id, "__row")
+    linked = link_documents(rows, "__row", text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept"))
+    return rows.join(linked, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)

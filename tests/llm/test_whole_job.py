@@ -55,3 +55,18 @@ def test_short_lines_go_too(spark):
     got = line_dedup.later_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     same = {(1, 0), (1, 2), (2, 2), (3, 0), (3, 1)}
     assert {(r.doc_id, r.line_no): r.reason for r in got} == dict.fromkeys(same, "same") | {(1, 1): "similar"}
+
+
+def test_rows_without_their_own_id_are_documents(spark):
+    some = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    texts = [(None, f"{some('a')}\n{some('b')}"), (None, f"{some('c')}\n{some('a')}"), (7, some("d")), (7, f"{some('e')}\n{some('f')}"), (3, some("f")), (None, some("g"))]
+    data = [(*r, i) for i, r in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, row int").repartition(3)
+    out = {r.row: r.text for r in line_dedup.without_later_lines(docs).collect()}
+    assert len(out) == 6 and [out[i] for i in (2, 3, 4, 5)] == [some("d"), some("e"), some("f"), some("g")]
+    # the two rows that hold a's line both have no id, so either is the later one
+    assert (out[0], out[1]) in {(some("b"), f"{some('c')}\n{some('a')}"), (f"{some('a')}\n{some('b')}", some("c"))}
+    copies = spark.createDataFrame([*data, (9, some("g"), 6), (9, some("h"), 7), (9, some("h"), 8)], docs.schema)
+    kept = shingle_join.one_of_each(copies)
+    rows = {r.row for r in kept.collect()}
+    assert kept.columns == docs.columns and rows - {7, 8} == {0, 1, 2, 3, 4, 6} and len(rows) == 7
