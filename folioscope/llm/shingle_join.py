@@ -1,7 +1,7 @@
-"""N-gram Jaccard join (operator 4): a blocked product of the document by shingle incidence.
+"""N-gram Jaccard join (operator 4): a prefix filter over the document by shingle incidence.
 
-Documents with equal shingle sets are one class, so copies cost nothing further.  The incidence is cut into blocks by
-shingle; multiplying a block with its transpose counts overlaps.  Three size bounds keep the product small and exact:
+Documents with equal shingle sets are one class, so copies cost nothing further.  No block is multiplied with its transpose:
+that would count every pair that shares any shingle.  Three bounds leave few pairs and lose no component:
 
 * A class can only link if enough of its shingles are shared.  That is tested first on the part of each set that comes
   first by hash, long enough that a linked pair must share a known number of shingles in it, then on whole sets.
