@@ -1,26 +1,27 @@
-"""N-gram Jaccard join (operator 4): a prefix filter over the document by shingle incidence.
+"""N-gram Jaccard join (operator 4): blocked sparse product of the document by shingle incidence with its transpose.
 
-Documents with equal shingle sets are one class, so copies cost nothing further.  No block is multiplied with its transpose:
-that would count every pair that shares any shingle.  Three bounds leave few pairs and lose no component:
+Documents with equal shingle sets are one class, a row of the incidence.  Size-derived bounds keep rows and pairs out:
 
 * A class can only link if enough of its shingles are shared.  That is tested first on the part of each set that comes
   first by hash, long enough that a linked pair must share a known number of shingles in it, then on whole sets.
-* With shingles in order of rarity, a linked pair meets within the first n - ceil(3n/4) + 1 of each set, and what is left of
-  either set after the place where they meet bounds their overlap.
-* A pair already in one component needs no count.  Each list's most central member is counted with the others first;
-  only pairs across the components which that leaves are counted after it.
+* With shingles in order of rarity, linked classes meet within the first n - ceil(3n/4) + 1 of each set.  Classes joined by
+  such meetings are one block of rows; no link leaves it.  A block of many entries is cut into tiles, by set size and then by
+  hash, and only tiles of sizes that can link are multiplied.
 
-Every pair that the bounds leave is verified on the whole sets.
+Each tile's product accumulates the overlap counts of all its pairs, over blocks of columns; pairs under 3/7 of both
+sizes together are discarded.  What leaves a tile is one row for each class: how many documents it links with and the
+least class it reaches, so a group of thousands of texts, all alike but different, costs its product and no list of pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
@@ -33,6 +34,10 @@ WIDTH = 5
 PART = 0.4
 #: Documents whose entries a task looks at together.
 CHUNK = 4000
+#: Weight of a tile: its entries, a row counting as ``ROW`` at least, so that a tile's counts are bounded too.
+TILE, ROW = 1 << 19, 256
+#: Columns that are multiplied together.
+COLUMNS = 2048
 _ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("k", "<i8")])
 _COUNT = np.dtype([("n", "<u4"), ("none", "<u2"), ("k", "<i8")])
 
@@ -218,56 +223,176 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """Rows (h, k, n, pos, c): the shingles, rarest first, within which each class of (k, v) must meet its partners.
+    """Rows (h, k): the shingles, rarest first, within which each class of (k, v) must meet its partners.
 
-    pos is the shingle's place in the class's order, counted from 0 with unshared shingles first; c is how many of the
-    class's shingles are shared.  Classes that share too few have no rows.
+    A class's shingles that no other has come first in its order.  Classes that share too few have no rows.
     """
     entries = sets.select("k", F.size("v").alias("n"), F.explode("v").alias("h"))
-    shared = stored(entries.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > 1))
-    both = entries.join(shared, "h")
+    shared = stored(entries.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") > 1).withColumn("df", F.col("times")))
+    both = J.beside(entries, shared, "h", "times")
     order = Window.partitionBy("k").orderBy("df", "h")
     both = both.withColumn("r", F.row_number().over(order)).withColumn("c", F.count("*").over(Window.partitionBy("k")))
     need = F.floor((3 * F.col("n") + 3) / 4)
-    both = both.withColumn("pos", (F.col("n") - F.col("c") + F.col("r") - 1).cast("int"))
-    return both.where((F.col("c") >= need) & (F.col("pos") <= F.col("n") - need)).select("h", "k", "n", "pos", F.col("c").cast("int").alias("c"))
-
-
-def _links(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that together join every two similar classes by a path."""
-    me, other = F.struct((F.col("n") - F.col("c")).alias("u"), "k", "n", "pos", "c"), F.col("p")
-    pivots = stored(entries.groupBy("h").agg(F.min(me).alias("p"), F.count("*").alias("size")).where(F.col("size") > 1).select("h", "p"))
-    left = F.least(F.col("n") - F.col("pos"), other["n"] - other["pos"], F.col("c"), other["c"])
-    met = entries.join(pivots, "h").where((F.col("k") != other["k"]) & J.reaches(left, F.col("n"), other["n"]))
-    pairs = stored(met.select(F.least("k", other["k"]).alias("a"), F.greatest("k", other["k"]).alias("b")).distinct())
-    links = stored(J.verified(pairs, sets))
-    # Pairs across components, where the bounds still leave any
-    label = J.components(links)
-    named = stored(entries.join(label, "k", "left").withColumn("g", F.coalesce("g", "k")))
-    best = stored(named.groupBy("h", "g").agg(F.max(F.least(F.col("n") - F.col("pos"), F.col("c"))).alias("left"), F.min("n").alias("n")))
-    lists = stored(best.groupBy("h").agg(F.max(F.struct("left", "g")).alias("top"), F.min("n").alias("least"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size"))
-    second = best.join(lists, "h").where(F.col("g") != F.col("top.g")).groupBy("h").agg(F.max("left").alias("second"))
-    lists = stored(lists.join(second, "h"))
-    rest = named.join(lists, "h")
-    most = F.least(F.col("n") - F.col("pos"), F.col("c"), F.when(F.col("g") == F.col("top.g"), F.col("second")).otherwise(F.col("top.left")))
-    rest = stored(rest.where(J.reaches(most, F.col("n"), F.col("least"))).select("h", "k", "n", "g", F.least(F.col("n") - F.col("pos"), F.col("c")).alias("left")))
-    if rest.isEmpty():
-        return links
-    x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "g", "left")]) for s in "xy")
-    cross = x.join(y, "h").where((F.col("k_x") < F.col("k_y")) & (F.col("g_x") != F.col("g_y")) & J.reaches(F.least("left_x", "left_y"), F.col("n_x"), F.col("n_y")))
-    more = cross.select(F.col("k_x").alias("a"), F.col("k_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(stored(J.verified(stored(more), sets)))
+    return both.where((F.col("c") >= need) & (F.col("r") <= F.col("c") - need + 1)).select("h", "k")
+
+
+def row_blocks(entries: DataFrame) -> DataFrame:
+    """Rows (k, g): classes that a chain of common prefix shingles joins have one g; classes that meet none have no row."""
+    first = stored(entries.groupBy("h").agg(F.min("k").alias("p"), F.count("*").alias("times")).where(F.col("times") > 1))
+    met = J.beside(entries, first, "h", "times").where(F.col("k") != F.col("p"))
+    return J.components(stored(met.select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()))
+
+
+def tiles(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (tile, whole, side, k, v, copies): the members of each tile, tile by tile within a partition.
+
+    A block of at most ``TILE`` is one tile.  Else its classes are cut by size, a factor of 4/3 each, and by hash into parts of
+    about ``TILE``; each part is a tile, and each two parts of one size or neighbouring ones are one whose sides are 0 and 1.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int")
+    rows = stored(sets.join(blocks, "k").withColumn("n", F.size("v")).withColumn("c", size))
+    parts = rows.groupBy("g", "c").agg(F.sum(F.greatest("n", F.lit(ROW))).alias("weight"), F.count("*").alias("times"))
+    cut = F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("weight") / TILE).cast("int"))))  # some 75 sizes at most
+    per = stored(parts.groupBy("g").agg(F.sum("times").alias("times"), (F.sum("weight") <= TILE).alias("whole"), cut.alias("parts")))
+    rows = J.beside(rows, per, "g", "times")
+    own = F.pmod(F.xxhash64("k"), F.try_element_at("parts", F.col("c")).cast("long")).cast("int")
+
+    def name(c: Column, p: Column, d: Column, q: Column) -> Column:
+        return F.concat_ws(",", F.col("g").cast("string"), c.cast("string"), p.cast("string"), d.cast("string"), q.cast("string"))
+
+    def others(c: Column) -> Column:
+        n = F.coalesce(F.try_element_at("parts", c), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    c = F.col("c")
+    tile = lambda t, side: F.struct(t.alias("tile"), side.cast("int").alias("side"))
+    all_ = F.concat(
+        F.transform(others(c), lambda q: tile(name(c, F.least(own, q), c, F.greatest(own, q)), F.when(own < q, 0).when(own > q, 1))),
+        F.transform(others(c + 1), lambda q: tile(name(c, own, c + 1, q), F.lit(0))),
+        F.transform(others(c - 1), lambda q: tile(name(c - 1, q, c, own), F.lit(1))),
+    )
+    all_ = F.when(F.col("whole"), F.array(tile(F.col("g").cast("string"), F.lit(None)))).otherwise(all_)
+    return rows.select("whole", "k", "v", "copies", F.inline(all_)).repartition("tile").sortWithinPartitions("tile").select("tile", "whole", "side", "k", "v", "copies")
+
+
+def overlaps(sets: list[np.ndarray], left: int = 0) -> np.ndarray:
+    """Numbers of shingles that each two of the sets share: the rows' incidence times its transpose, summed over columns.
+
+    With ``left``, of the first ``left`` sets with each of the others.  Columns that few rows have add to the counts pair by
+    pair; blocks of other columns are multiplied as matrices.
+    """
+    n, sizes = len(sets), np.array([len(v) for v in sets], np.int64)
+    h, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    col = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+    df = np.bincount(col)
+    out = np.zeros((left, n - left) if left else (n, n), np.float32)
+    few = max(2, n // 64)
+    use = (df[col] > 1) & (df[col] <= few)
+    r, c, d = row[use], col[use], 1
+    while len(r) > d:
+        i = np.flatnonzero(c[d:] == c[:-d])
+        if not len(i):
+            break
+        a, b = r[i], r[i + d]  # rows ascend within a column
+        d += 1
+        if left:
+            a, b = a[(a < left) & (b >= left)], b[(a < left) & (b >= left)] - left
+        np.add.at(out, (a, b), 1)
+        if not left:
+            np.add.at(out, (b, a), 1)
+    use = df[col] > few
+    r, c = row[use], col[use]
+    if len(c):
+        c = np.cumsum(np.append(0, c[1:] != c[:-1]))
+        for at in range(0, int(c[-1]) + 1, COLUMNS):
+            i, j = np.searchsorted(c, (at, at + COLUMNS))
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[r[i:j], c[i:j] - at] = 1
+            out += block[:left] @ block[left:].T if left else block @ block.T
+    return out
+
+
+def linked(sets: list[np.ndarray], left: int = 0) -> np.ndarray:
+    """Whether each two sets link: 100 * overlap >= 75 * union.  With ``left``, only the first ``left`` with the others."""
+    n, sizes, counts = len(sets), np.array([len(v) for v in sets]), overlaps(sets, left)
+    out = np.zeros((n, n), bool)
+    for a in range(0, len(counts), 256):  # rows together
+        part = slice(a, min(a + 256, len(counts)))
+        out[part, left:] = J.reaches(counts[part].astype(np.int64), sizes[part, None], sizes[None, left:])
+    if left:
+        out[left:, :left] = out[:left, left:].T
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _reached(links: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each row the least key among the rows that links reach."""
+    out, open_ = key.copy(), np.ones(len(key), bool)
+    for i in np.argsort(key):
+        if open_[i]:
+            now = np.array([i])
+            while len(now):
+                open_[now] = False
+                out[now] = key[i]
+                now = np.flatnonzero(links[now].any(0) & open_)
+    return out
+
+
+def products(tiled: DataFrame) -> DataFrame:
+    """Rows (k, whole, least, links): of each class that links within a tile the least class it reaches there, and its links' documents."""
+    bounded_batches(tiled.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            _, whole, side, key, sets, copies = zip(*sorted(held, key=lambda x: x[2] or 0), strict=True)
+            key, copies = np.array(key, np.int64), np.array(copies, np.int64)
+            left = side.count(0)
+            links = linked(list(sets), left) if side[0] is None or 0 < left < len(side) else np.zeros((len(side), len(side)), bool)
+            some = links.any(1)
+            n = np.array([copies[x].sum() for x in links[some]], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(np.array(whole)[some]), pa.array(_reached(links, key)[some]), pa.array(n)], names=["k", "whole", "least", "links"])
+
+        for batch in batches:
+            flat = batch.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            off = np.asarray(batch.column(4).offsets) - batch.column(4).offsets[0].as_py()
+            cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)]
+            for i, (t, whole, side, k, copies) in enumerate(zip(*cols, strict=True)):
+                if held and held[0][0] != t:
+                    if len(held) > 1:
+                        yield done()
+                    held.clear()
+                held.append((t, whole, side, k, flat[off[i] : off[i + 1]].copy(), copies))
+        if len(held) > 1:
+            yield done()
+
+    return tiled.mapInArrow(lean(run), "k long, whole boolean, least long, links long")
+
+
+def class_links(sets: DataFrame) -> DataFrame:
+    """Of (k, v, copies): rows (k, g, links) of classes that link; g is the least class that links reach, links the documents of linked classes."""
+    found = stored(products(tiles(sets, row_blocks(stored(prefixes(sets))))))
+    out = found.where("whole").select("k", F.col("least").alias("g"), "links")
+    cut = found.where("NOT whole")
+    if cut.isEmpty():
+        return out
+    label = J.components(cut.where(F.col("k") != F.col("least")).select(F.col("least").alias("a"), F.col("k").alias("b")))
+    return out.unionByName(cut.groupBy("k").agg(F.sum("links").alias("links")).join(label, "k").select("k", "g", "links"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+    """Rows (doc_id, n_shingles, component_id, n_links), one for each row of ``docs``.
 
-    component_id is the smallest doc_id that links reach, the document's own included.  A text without words, or null, has
-    0 shingles and its own id.  Rows that share an id are documents of their own here; a null id counts only where no
-    member of the component has one.  An empty table gives no rows.
+    component_id is the smallest doc_id that links reach, the document's own included; n_links counts the other documents
+    that the document itself links with, copies too.  A text without words, or null, has 0 shingles, its own id and no links.
+    Rows that share an id are documents of their own here; a null id counts only where no member of the component has one.
+    An empty table gives no rows.
     """
     named = stored(classes(docs, doc_id, text))
-    kinds = stored(named.where(F.col("k").isNotNull()).groupBy("k").agg(F.first("n_shingles").alias("n")))
+    kinds = stored(named.where(F.col("k").isNotNull()).groupBy("k").agg(F.first("n_shingles").alias("n"), F.count("*").alias("copies")))
     total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     texts = docs.select(F.col(text).alias("text"))
     shared = shared_counts(texts, PART, J.buckets(int(total * PART)))
@@ -276,11 +401,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = shared_counts(sets.select("k", "v"), 1.0, J.buckets(size))
     alive = stored(alive.join(shared, "k").where(F.col("shared") >= F.floor((3 * F.col("n") + 3) / 4)).select("k"))
-    sets = stored(sets.join(alive, "k"))
-    label = J.components(_links(stored(prefixes(sets)), sets))
-    grouped = stored(named.join(label, "k", "left").select("doc_id", "n_shingles", F.coalesce("g", "k").alias("g")))
-    least = stored(grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("least")))
-    return grouped.join(least, "g", "left").select("doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    label = class_links(stored(sets.join(alive, "k").join(kinds.select("k", "copies"), "k")))
+    # Of each class its component and links, and how many documents ask for them
+    of = stored(kinds.join(label, "k", "left").select("k", F.coalesce("g", "k").alias("g"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("times")))
+    grouped = stored(J.beside(named, of, "k", "times", "left").drop("k"))
+    least = stored(grouped.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
+    out = J.beside(grouped, least, "g", "times", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
