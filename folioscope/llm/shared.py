@@ -73,17 +73,18 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def ranked(docs: DataFrame, doc_id: str, name: str) -> DataFrame:
-    """``docs`` with a column ``name``: a number of each row's own that rises with the id, null last.
+def ranked(docs: DataFrame, doc_id: str, name: str, *ties: Column) -> DataFrame:
+    """``docs`` with a column ``name``: a number of each row's own that rises with the id, null last, and then with ``ties``.
 
     Integer ids that are neither null nor repeated are these numbers; else rows are sorted, and written so that a row's number
-    stays the same.
+    stays the same, and the column's metadata have ``own``.
     """
     if isinstance(docs.schema[doc_id].dataType, IntegralType):
         odd = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(doc_id).isNull())
         if odd.isEmpty():
             return docs.withColumn(name, F.col(doc_id).cast("long"))
-    return stored(docs.orderBy(F.col(doc_id).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()))
+    out = stored(docs.orderBy(F.col(doc_id).asc_nulls_last(), *ties).withColumn(name, F.monotonically_increasing_id()))
+    return out.withMetadata(name, {"own": True})
 
 
 def first_by_hash(df: DataFrame, n: int, *ties: str) -> DataFrame:

@@ -77,15 +77,18 @@ def test_components_match_brute_force(docs, none, rows):
             x = parent[x]
         return x
 
+    n_links = [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 parent[find(i)] = find(j)
+                n_links[i] += 1
+                n_links[j] += 1
     least = defaultdict(list)
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)].append(r[0])
-    want = Counter((r[0], len(sets[i]), min(least[find(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows))
+    want = Counter((r[0], len(sets[i]), min(least[find(i)], default=None) if sets[i] else r[0], n_links[i]) for i, r in enumerate(rows))
     assert Counter(tuple(r) for r in shingle_join.link_documents(docs).collect()) == want
     assert shingle_join.link_documents(none).count() == 0
     kept = shingle_join.one_of_each(docs)
@@ -95,13 +98,14 @@ def test_components_match_brute_force(docs, none, rows):
 @pytest.mark.parametrize("enough,split", [(256, 1 << 20), (1, 40)])
 def test_later_lines_match_brute_force(docs, none, rows, enough, split):
     lines = []
-    for r in rows:
+    for i, r in enumerate(rows):  # the row that repeats an id repeats its text too
         for j, line in enumerate((r[1] or "").split("\n")):
-            if len(low(line)) >= line_dedup.LEAST_WORDS:
-                lines.append(((r[0] is None, r[0] or 0, j), set(low(line)), (r[0], j)))
-    want = {x[2] for x in lines if any(o[0] < x[0] and 4 * len(o[1] & x[1]) >= 3 * len(o[1] | x[1]) for o in lines)}
+            if low(line):
+                lines.append(((r[0] is None, r[0] or 0, i, j), set(low(line)), (r[0], j)))
+    before = lambda x: [o[1] for o in lines if o[0] < x[0] and 4 * len(o[1] & x[1]) >= 3 * len(o[1] | x[1])]
+    want = Counter((*x[2], "same" if x[1] in b else "similar") for x in lines if (b := before(x)))
     got = line_dedup.later_lines(docs, enough=enough, split=split)
-    assert {(r.doc_id, r.line_no) for r in got.collect()} == want
+    assert Counter((r.doc_id, r.line_no, r.reason) for r in got.collect()) == want
     assert line_dedup.later_lines(none).count() == 0
     out = line_dedup.without_later_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows)

@@ -33,7 +33,7 @@ def test_spans_of_texts_without_words():
 def _entries(seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     e = np.zeros(300, L._ENTRY)
-    e["low"] = np.sort(rng.integers(0, 6, len(e)))
+    e["w"] = np.sort(rng.integers(0, 6, len(e)))
     e["doc"] = rng.integers(0, 40, len(e))
     e["line"] = rng.integers(0, 3, len(e))
     e["n"] = rng.integers(5, 60, len(e))
@@ -41,7 +41,7 @@ def _entries(seed: int) -> np.ndarray:
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
     e["s"] = base[rng.integers(0, 3, len(e))] ^ (np.uint64(1) << rng.integers(0, 63, len(e)).astype(np.uint64))
     e["t"] = base[0]
-    return e[np.lexsort((e["line"], e["doc"], e["low"]))]
+    return e[np.lexsort((e["line"], e["doc"], e["w"]))]
 
 
 def test_second_look_finds_all_pairs_of_the_wanted_lines():
