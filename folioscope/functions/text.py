@@ -57,13 +57,17 @@ def path_key(path: Column) -> Column:
     return F.transform(path, header_key)
 
 
+#: A page's leading number line and its footer; a hyphen at a line's end.
+PAGE_NUMBER, FOOTER, SOFT_HYPHEN = r"\A\d+\n", r"(?s)\n?•HR\b.*", r"(?U)(\w)-\n([a-z])"
+
+
 def strip_chrome(page: Column) -> Column:
     """A page's text without its leading number line and the footer from its bullet on."""
-    return F.regexp_replace(F.regexp_replace(page, r"\A\d+\n", ""), r"(?s)\n?•HR\b.*", "")
+    return F.regexp_replace(F.regexp_replace(page, PAGE_NUMBER, ""), FOOTER, "")
 
 
 def join_hyphens(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)(\w)-\n([a-z])", "$1$2")
+    return F.regexp_replace(x, SOFT_HYPHEN, "$1$2")
 
 
 def plain_glyphs(x: Column) -> Column:
@@ -76,23 +80,27 @@ def recall_key(x: Column) -> Column:
     return F.regexp_replace(squeeze(plain_glyphs(x)), r"(?U)(\w)- (\w)", "$1-$2")
 
 
+#: Title, section and account lines of a page.
+TITLE_LINE, SECTION_LINE, ACCOUNT_LINE = r"(?U)^TITLE\s+([IVXLC]+)\b", r"(?U)^(SEC(?:TION)?\.?\s+\d+)\b", r"(?i)^For necessary expenses of\b"
+
+
 def heading_like(x: Column) -> Column:
     """Has a letter, no lower-case one, and isn't a title or section line."""
-    return x.rlike(r"\p{L}") & ~x.rlike(r"\p{Ll}") & ~x.rlike(r"^(TITLE|SEC)")
+    return x.rlike(r"\p{L}") & ~x.rlike(r"\p{Ll}") & ~x.rlike(TITLE_LINE) & ~x.rlike(SECTION_LINE)
 
 
 def title_text(x: Column) -> Column:
-    m = F.regexp_extract(x, r"^TITLE\s+([IVXLC]+)\b", 1)
+    m = F.regexp_extract(x, TITLE_LINE, 1)
     return F.when(m != "", F.concat(F.lit("TITLE "), m))
 
 
 def section_text(x: Column) -> Column:
-    m = F.regexp_extract(x, r"^(SEC(?:TION)?\.?\s+\d+)\b", 1)
-    return F.when(m != "", F.regexp_replace(m, r"\s+", " "))
+    m = F.regexp_extract(x, SECTION_LINE, 1)
+    return F.when(m != "", F.regexp_replace(m, WS, " "))
 
 
 def account_trigger(x: Column) -> Column:
-    return x.rlike(r"(?i)^For necessary expenses of\b")
+    return x.rlike(ACCOUNT_LINE)
 
 
 def slug(x: Column) -> Column:

@@ -73,9 +73,13 @@ def move_candidates(gone: DataFrame, come: DataFrame, least: float = MOVE) -> Da
         need = F.ceil(F.col("n") * least / (2 - least))
         return w.where(F.col("r") <= F.col("n") - need + 1).select("pair_id", i, "h")
 
-    empty = lambda d, t: d.where(F.size(words(F.coalesce(F.col(t), F.lit("")))) == 0)
+    def empty(d: DataFrame, i: str, t: str) -> DataFrame:
+        """Texts without words are alike, and claimed from the last on: only pairs of one rank can be taken."""
+        last = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc(i)))
+        return d.where(F.size(words(F.coalesce(F.col(t), F.lit("")))) == 0).select("pair_id", i, last.alias("rank"))
+
     pairs = prefix(gone, "oi", "a").join(prefix(come, "ni", "b"), ["pair_id", "h"]).select("pair_id", "oi", "ni").distinct()
-    pairs = pairs.unionByName(empty(gone, "a").select("pair_id", "oi").join(empty(come, "b").select("pair_id", "ni"), "pair_id").select("pair_id", "oi", "ni"))
+    pairs = pairs.unionByName(empty(gone, "oi", "a").join(empty(come, "ni", "b"), ["pair_id", "rank"]).select("pair_id", "oi", "ni"))
     both = pairs.join(gone, ["pair_id", "oi"]).join(come, ["pair_id", "ni"])
     both = both.where(similarity_bound(F.col("a"), F.col("b")) >= least)
     return both.withColumn("sim", similarity("a", "b")).where(F.col("sim") >= least).select("pair_id", "oi", "ni", "sim")

@@ -6,12 +6,15 @@ pairs of versions are matched in one job: every join and window is keyed by pair
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import similarity
 from ..functions.text import division_title
-from ..storage import stored
+from ..storage import nullable, stored
 
 KEY = ["pair_id", "match_path"]
 
@@ -24,56 +27,85 @@ def duplicate_paths(nodes: DataFrame) -> DataFrame:
 def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one assignment of rows (keys, oi, ni, sim): the best pair first, equal ones by the larger oi, then ni.
 
-    Each round takes the pairs that are best for both of their ends, which are the same as one sequential pass takes, and
-    drops what meets them.  Rounds are written out, so lineage stays short.
+    One pass over the candidates in that order claims both ends of a pair where neither is taken.  Groups of ``keys`` are
+    spread; a group streams through its task, which keeps nothing but the ends that are taken.
     """
-    left, taken = stored(pairs), None
-    best = [F.desc("sim"), F.desc("oi"), F.desc("ni")]
-    while not left.isEmpty():
-        by_old, by_new = (Window.partitionBy(*keys, c).orderBy(*best) for c in ("oi", "ni"))
-        ranked = left.withColumn("r", F.row_number().over(by_old)).withColumn("s", F.row_number().over(by_new))
-        now = stored(ranked.where("r = 1 AND s = 1").select(*pairs.columns))
-        taken = now if taken is None else taken.unionByName(now)
-        left = stored(left.join(now.select(*keys, "oi"), [*keys, "oi"], "left_anti").join(now.select(*keys, "ni"), [*keys, "ni"], "left_anti"))
-    return pairs.limit(0) if taken is None else taken
+    n = len(keys)
+    at = [pairs.columns.index(c) for c in (*keys, "oi", "ni")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, olds, news = None, set(), set()
+        for batch in batches:
+            claimed = []
+            for row in zip(*[batch.column(i).to_pylist() for i in at], strict=True):
+                if row[:n] != group:
+                    group, olds, news = row[:n], set(), set()
+                free = row[n] not in olds and row[n + 1] not in news
+                claimed.append(free)
+                if free:
+                    olds.add(row[n])
+                    news.add(row[n + 1])
+            yield batch.filter(pa.array(claimed, pa.bool_()))
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, F.desc("sim"), F.desc("oi"), F.desc("ni")).mapInArrow(run, nullable(pairs.schema))
 
 
 def _scored(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     """All pairs within a key, scored; a key with one node on either side is paired without a score."""
     sizes = old.groupBy(*on).agg(F.count("*").alias("no")).join(new.groupBy(*on).agg(F.count("*").alias("nn")), on)
-    both = old.select(*on, F.col("ord").alias("oi"), F.col("body_text").alias("a")).join(new.select(*on, F.col("ord").alias("ni"), F.col("body_text").alias("b")), on).join(sizes, on)
+    both = old.select(*on, F.col("at").alias("oi"), F.col("body_text").alias("a")).join(new.select(*on, F.col("at").alias("ni"), F.col("body_text").alias("b")), on).join(sizes, on)
     # A UDF inside CASE runs for every row, so the branches are filtered apart.
     sure = both.where("no = 1 AND nn = 1").select(*on, "oi", "ni", F.lit(1.0).alias("sim"))
     return sure.unionByName(both.where("no > 1 OR nn > 1").withColumn("sim", similarity("a", "b")).select(*on, "oi", "ni", "sim"))
 
 
+def _placed(old: DataFrame, new: DataFrame) -> list[DataFrame]:
+    """Both sides' nodes of repeated paths with their division's rank, old divisions by first appearance and then new ones, and their place ``at`` by it."""
+    on = [*KEY, "title"]
+    first = old.groupBy(*on).agg(F.min("ord").alias("fo")).join(new.groupBy(*on).agg(F.min("ord").alias("fn")), on, "full_outer")
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("fo").isNull(), F.coalesce("fo", "fn")))
+    first = stored(first.select(*on, rank.alias("division")))
+    return [stored(d.join(first, on).withColumn("at", F.row_number().over(Window.partitionBy(*KEY).orderBy("division", "ord")))) for d in (old, new)]
+
+
 def match_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows (pair_id, match_path, oi, ni, stage): places of matched nodes, null where a side has none.
+    """Rows (pair_id, match_path, oi, ni, stage, place): places of matched nodes, null where a side has none.
 
     stage 0: the path occurs at most once on each side; 1: paired within a division title; 2: across titles; 3 and 4: old
-    and new nodes left over.  The cost of stages 1 and 2 is the square of how often a path repeats within a version.
+    and new nodes left over.  ``place`` is the row's within its path: pairs by division and then in the order they are claimed,
+    those across divisions as claimed, then what is left.  The cost of stages 1 and 2 is the square of how often a path repeats
+    within a version.
     """
     count = lambda d, n: d.groupBy(*KEY).agg(F.count("*").alias(n))
     sizes = count(old, "no").join(count(new, "nn"), KEY, "full_outer").na.fill(0, ["no", "nn"])
     repeated = stored(sizes.where("no > 1 OR nn > 1").select(*KEY))
     plain_old, plain_new = (d.join(repeated, KEY, "left_anti").select(*KEY, F.col("ord").alias(c)) for d, c in ((old, "oi"), (new, "ni")))
-    out = plain_old.join(plain_new, KEY, "full_outer").select(*KEY, "oi", "ni", F.lit(0).alias("stage"))
-    rest = [stored(d.join(repeated, KEY, "left_semi").select(*KEY, "ord", "body_text", division_title(F.coalesce("division_label", F.lit(""))).alias("title"))) for d in (old, new)]
+    out = plain_old.join(plain_new, KEY, "full_outer").select(*KEY, "oi", "ni", F.lit(0).alias("stage"), F.lit(1).alias("place"))
+    titled = [d.join(repeated, KEY, "left_semi").select(*KEY, "ord", "body_text", division_title(F.coalesce("division_label", F.lit(""))).alias("title")) for d in (old, new)]
+    both = rest = _placed(*titled)
+    parts = []
     for stage, on in ((1, [*KEY, "title"]), (2, KEY)):
-        found = stored(greedy(_scored(*rest, on), on))
-        out = out.unionByName(found.select(*KEY, "oi", "ni", F.lit(stage).alias("stage")))
-        rest = [stored(d.join(found.select(*KEY, F.col(c).alias("ord")), [*KEY, "ord"], "left_anti")) for d, c in zip(rest, ("oi", "ni"), strict=True)]
-    none = F.lit(None).cast(old.schema["ord"].dataType)
-    out = out.unionByName(rest[0].select(*KEY, F.col("ord").alias("oi"), none.alias("ni"), F.lit(3).alias("stage")))
-    return out.unionByName(rest[1].select(*KEY, none.alias("oi"), F.col("ord").alias("ni"), F.lit(4).alias("stage")))
+        found = stored(greedy(_scored(*rest, on), on).select(*KEY, "oi", "ni", F.lit(stage).alias("stage"), "sim"))
+        parts.append(found)
+        rest = [stored(d.join(found.select(*KEY, F.col(c).alias("at")), [*KEY, "at"], "left_anti")) for d, c in zip(rest, ("oi", "ni"), strict=True)]
+    none = F.lit(None).cast("int")
+    parts.append(rest[0].select(*KEY, F.col("at").alias("oi"), none.alias("ni"), F.lit(3).alias("stage"), F.lit(0.0).alias("sim")))
+    parts.append(rest[1].select(*KEY, none.alias("oi"), F.col("at").alias("ni"), F.lit(4).alias("stage"), F.lit(0.0).alias("sim")))
+    hard = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    for d, c, x in ((both[0], "oi", "o"), (both[1], "ni", "n")):
+        hard = hard.join(d.select(*KEY, F.col("at").alias(c), F.col("ord").alias(x), F.col("division").alias(f"division_{x}")), [*KEY, c], "left")
+    claimed = F.col("stage") <= 2
+    order = [F.col("stage"), F.when(F.col("stage") == 1, F.col("division_o")), F.desc("sim"), F.when(claimed, -F.col("oi")).otherwise(F.coalesce("oi", "ni")), F.desc("ni")]
+    hard = hard.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
+    return out.unionByName(hard.select(*KEY, F.col("o").alias("oi"), F.col("n").alias("ni"), "stage", "place"))
 
 
 def in_order(matched: DataFrame) -> DataFrame:
-    """Adds out_ord: keys of the old version by first appearance, then new ones; within a key by stage and place."""
+    """Adds out_ord: keys of the old version by first appearance, then new ones; within a key by place."""
     key = Window.partitionBy(*KEY)
     m = matched.withColumn("fo", F.min("oi").over(key)).withColumn("fn", F.min("ni").over(key))
-    order = Window.partitionBy("pair_id").orderBy(F.col("fo").isNull(), F.coalesce("fo", "fn"), "stage", F.coalesce("oi", "ni"), "ni")
-    return m.withColumn("out_ord", F.row_number().over(order)).drop("fo", "fn")
+    order = Window.partitionBy("pair_id").orderBy(F.col("fo").isNull(), F.coalesce("fo", "fn"), "place")
+    return m.withColumn("out_ord", F.row_number().over(order)).drop("fo", "fn", "place")
 
 
 def cross_division_mismatches(changes: DataFrame) -> DataFrame:

@@ -79,18 +79,24 @@ def view_of(json: DataFrame) -> DataFrame:
 def serialized(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, text): headings where they change, then bodies, blank lines between.
 
-    A section's own label isn't a heading; it stands before its body as ``SEC. N.``.
+    A section's own label isn't a heading; it stands in capitals before its body.  The header of a node without a path stands
+    as a line of its own, right below a heading that has no body.
     """
     section = F.col("section_number") != ""
     head = F.when(section, F.slice("display_path", F.lit(1), F.greatest(F.size("display_path") - 1, F.lit(0)))).otherwise(F.col("display_path"))
     order = Window.partitionBy(*keys).orderBy("ord")
     n = nodes.withColumn("head", head).withColumn("prev", F.coalesce(F.lag("head").over(order), F.array().cast("array<string>")))
     n = n.withColumn("common", common_prefix(F.col("head"), F.col("prev")))
-    fresh = F.slice("head", F.col("common") + 1, F.size("head"))
-    body = F.when(section, F.concat(F.lit("SEC. "), F.col("section_number"), F.lit(".  "), F.col("body_text"))).otherwise(F.col("body_text"))
-    n = n.withColumn("parts", F.filter(F.concat(fresh, F.array(body)), lambda p: p.isNotNull() & (p != "")))
+    fresh = F.transform(F.slice("head", F.col("common") + 1, F.size("head")), lambda h: F.struct(F.lit("heading").alias("kind"), h.alias("text")))
+    lone = F.when(F.size("display_path") == 0, F.col("header_text"))
+    body = F.when(F.col("body_text") != "", F.concat(F.when(section, F.concat(F.upper("section_number"), F.lit(".  "))).otherwise(""), F.col("body_text")))
+    own = F.array(F.struct(F.lit("header").alias("kind"), lone.alias("text")), F.struct(F.lit("body").alias("kind"), body.alias("text")))
+    n = n.withColumn("parts", F.filter(F.concat(fresh, own), lambda p: p["text"].isNotNull() & (p["text"] != "")))
     parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "parts"))), lambda x: x["parts"]))
-    return n.groupBy(*keys).agg(F.array_join(parts, "\n\n").alias("text"))
+    n = n.groupBy(*keys).agg(parts.alias("p"))
+    close = lambda p, i: (p["kind"] == "header") & (F.get("p", i - 1)["kind"] != "body")
+    lines = F.transform("p", lambda p, i: F.concat(F.when(i == 0, "").when(close(p, i), "\n").otherwise("\n\n"), p["text"]))
+    return n.select(*keys, F.array_join(lines, "").alias("text"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -11,8 +11,10 @@ from ..functions import amounts as A
 from ..functions import sequences as S
 from ..functions import text as T
 from ..operators import classify, match, pages, versions
+from ..sources import bill_xml
+from . import bills
 from . import canonical as C
-from .fixture import WITH, nodes, rows
+from .fixture import CHANGES, MATCHED, WITH, alike, nodes, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,7 +65,7 @@ def snapshot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_nodes(old, new).where("stage = 0").select("pair_id", F.array_join("match_path", "/").alias("path"), "oi", "ni")
 
 
-@query()
+@query(MATCHED + " SELECT pair_id, path, CAST(o AS INTEGER) AS oi, CAST(n AS INTEGER) AS ni, CAST(stage AS INTEGER) AS stage, CAST(out_ord AS INTEGER) AS out_ord FROM matched")
 def node_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = match.in_order(match.match_nodes(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new")))
     return m.select("pair_id", F.array_join("match_path", "/").alias("path"), "oi", "ni", "stage", "out_ord")
@@ -95,22 +97,31 @@ def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("pair_id").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in kinds.items()])
 
 
-@query()
+def bill_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.diff_versions(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))
+
+
+FIELDS = f"""SELECT c.pair_id, kind AS change_type, c.path, a AS old_text, b AS new_text, coalesce(nullif(CASE WHEN n.leaf LIKE 'sec%' THEN 'Sec. ' || nk ELSE '' END, ''), CASE WHEN o.leaf LIKE 'sec%' THEN 'Sec. ' || ok ELSE '' END, '') AS section_number,
+       coalesce('old-' || ok, '') AS element_id_old, coalesce('new-' || nk, '') AS element_id_new, spot AS out_ord,
+       CASE WHEN kind IN ('modified', 'moved') AND a <> b THEN '--- old|+++ new|@@ -1 +1 @@|-' || a || '|+' || b END AS diff,
+       CASE WHEN len({AMOUNTS.format(x="coalesce(a, '')")}) + len({AMOUNTS.format(x="coalesce(b, '')")}) > 0 THEN list_sort({AMOUNTS.format(x="coalesce(a, '')")}) <> list_sort({AMOUNTS.format(x="coalesce(b, '')")}) END AS amounts_changed
+FROM changes c LEFT JOIN old o ON o.k = ok LEFT JOIN new n ON n.k = nk"""
+
+
+@query(CHANGES + " " + FIELDS)
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = classify.diff_versions(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))
-    return d.select("pair_id", "change_type", F.array_join("match_path", "/").alias("path"), "old_text", "new_text", "section_number", "element_id_old", "element_id_new", "out_ord", F.col("financial.amounts_changed").alias("amounts_changed"))
+    return bill_diff(spark, sf_dir).select(
+        "pair_id", "change_type", F.array_join("match_path", "/").alias("path"), "old_text", "new_text", "section_number", "element_id_old", "element_id_new", "out_ord",
+        F.array_join("text_diff", "|").alias("diff"), F.col("financial.amounts_changed").alias("amounts_changed"),
+    )
 
 
-@query()
-def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.summary(classify.reconcile_moves(classify.classify(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))))
+COUNTED = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in classify.KINDS)
 
 
-@query()
-def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = classify.diff_versions(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))
-    names = d.select("pair_id").distinct().select("pair_id", F.lit("hr").alias("bill_type"), F.lit(118).alias("congress"), F.col("pair_id").alias("bill_number"), F.lit("old").alias("label_old"), F.lit("new").alias("label_new"), F.lit(1).alias("number_old"), F.lit(2).alias("number_new"))
-    return C.canonical(d, names)
+@query(CHANGES + f" SELECT pair_id, {COUNTED} FROM changes GROUP BY 1")
+def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.summary(classify.reconcile_moves(classify.classify(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))))
 
 
 @query()
@@ -126,6 +137,31 @@ def filter_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.filter_changes(b, path="Account12").select("k", "c", F.array_join("match_path", " ").alias("path"))
 
 
+# Scans
+
+
+@query(bills.NODES + """
+SELECT 'bills/118-hr-' || bill || '/1_reported-in-house.xml' AS file, ord, 118 AS congress, 'hr' AS bill_type, CAST(bill AS INTEGER) AS bill_number, 'reported-in-house' AS version,
+       lower(shown) AS path, CASE WHEN division = '' THEN shown ELSE division || '/' || shown END AS shown, CASE WHEN n = 0 THEN 's' ELSE 'e' || k END AS element_id,
+       header AS header_text, body AS body_text, number AS section_number, division AS division_label FROM nodes""")
+def xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = bill_xml.parse(bills.xml_files(spark, sf_dir))
+    fields = ["element_id", "header_text", "body_text", "section_number", "division_label"]
+    return n.select("file", "ord", "congress", "bill_type", "bill_number", "version", F.array_join("match_path", "/").alias("path"), F.array_join("display_path", "/").alias("shown"), *fields)
+
+
+@query(bills.NODES + """
+, h AS (SELECT *, [x FOR x IN string_split(CASE WHEN division = '' THEN shown ELSE division || '/' || shown END, '/') IF x <> ''] AS path FROM nodes),
+c AS (SELECT *, CASE WHEN number <> '' THEN path[:-2] ELSE path END AS head FROM h),
+l AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY bill ORDER BY ord), []) AS prev FROM c),
+f AS (SELECT *, (SELECT count(*) FROM (SELECT unnest(range(1, len(head) + 1)) AS i) WHERE head[:i] = prev[:i] AND len(prev) >= i) AS common FROM l),
+x AS (SELECT bill, ord, array_to_string(list_concat(head[common + 1:], CASE WHEN body = '' THEN [] ELSE [CASE WHEN number = '' THEN '' ELSE upper(number) || '.  ' END || body] END), chr(10) || chr(10)) AS part FROM f)
+SELECT bill, md5(string_agg(part, chr(10) || chr(10) ORDER BY ord)) AS text FROM x WHERE part <> '' GROUP BY 1""")
+def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = C.serialized(bill_xml.parse(bills.xml_files(spark, sf_dir)), ["bill_number"])
+    return text.select(F.col("bill_number").cast("long").alias("bill"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 # Amounts
 
 
@@ -184,11 +220,10 @@ def text_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BOTH + """
-, w AS (SELECT k, string_split(old, ' ') AS a, string_split(new, ' ') AS c FROM b WHERE k % 7 <> 0)
+, w AS (SELECT k, string_split(old, ' ') AS a, string_split(new, ' ') AS c FROM b)
 SELECT k, round(2.0 * (SELECT count(*) FROM (SELECT unnest(a) AS x) WHERE list_contains(c, x)) / (len(a) + len(c)), 9) AS ratio FROM w""")
 def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = both(spark, sf_dir).where("k % 7 <> 0")
-    return b.select("k", F.round(S.similarity("old", "new"), 9).alias("ratio"))
+    return both(spark, sf_dir).select("k", F.round(S.similarity("old", "new"), 9).alias("ratio"))
 
 
 @query(BOTH + """

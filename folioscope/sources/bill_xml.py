@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ SCHEMA = (
     "file string, congress int, bill_type string, bill_number int, version string, ord int, match_path array<string>, display_path array<string>, "
     "tag string, element_id string, header_text string, body_text string, section_number string, division_label string, error string"
 )
-#: Containers by name, and what a parenthetical heading looks like.
+#: Containers and account levels by name, what a parenthetical heading looks like, and list markers.
 CONTAINERS = ("subtitle", "part", "chapter", "subchapter")
 LEVELS = {"appropriations-major": 0, "appropriations-intermediate": 1, "appropriations-small": 2}
 _PAREN = re.compile(r"\(.*\)", re.S)
@@ -35,94 +35,94 @@ def _join(el: ET.Element, sep: str, skip: tuple[str, ...] = ("enum", "header"))
     return sep.join(t for c in el if c.tag not in skip and (t := flat(c)))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Scope:
-    """Headings in force: major, intermediate, and the last one that isn't in parentheses."""
+    """Headings in force; None where none has been seen.  ``named`` is the last one that isn't in parentheses."""
 
-    title: str
-    division: str
-    major: str = ""
-    middle: str = ""
-    named: str = ""
+    title: str = ""
+    division: str = ""
+    major: str | None = None
+    middle: str | None = None
+    named: str | None = None
 
-    def copy(self, **change: str) -> Scope:
-        return Scope(**{**self.__dict__, **change})
+    def path(self, middle: str | None, leaf: str | None) -> list[str]:
+        parts = [self.title, self.major, middle, None if leaf in (self.major, middle) else leaf]
+        return [p for p in parts if p]
 
 
 @dataclass
 class Walk:
+    """Nodes in document order.  What an element does to the headings is returned, so a scope ends where its loop does."""
+
     rows: list[dict] = field(default_factory=list)
 
-    def emit(self, el: ET.Element, scope: Scope, leaf: str, header: str, body: str, number: str = "", shown: str | None = None) -> None:
-        parts = [scope.title, scope.major, scope.middle]
-        if leaf not in (scope.major, scope.middle):
-            parts.append(leaf)
-        parts = [p for p in parts if p]
-        display = ([scope.division] if scope.division else []) + (parts[:-1] + [shown] if shown and parts else parts)
+    def emit(self, el: ET.Element, scope: Scope, path: list[str], header: str, body: str, number: str = "", shown: list[str] | None = None) -> None:
         self.rows.append({
-            "match_path": [" ".join(p.lower().split()) for p in parts], "display_path": display, "tag": el.tag, "element_id": el.get("id", ""),
-            "header_text": header, "body_text": body, "section_number": number, "division_label": scope.division,
+            "match_path": [" ".join(p.lower().split()) for p in path], "display_path": [scope.division] * bool(scope.division) + (path if shown is None else shown),
+            "tag": el.tag, "element_id": el.get("id", ""), "header_text": header, "body_text": body, "section_number": number, "division_label": scope.division,
         })
 
-    def children(self, el: ET.Element, scope: Scope, depth: int = 1) -> None:
+    def children(self, el: ET.Element, scope: Scope, contained: bool = False) -> None:
         for c in el:
-            if c.tag in LEVELS:
-                self.account(c, scope)
+            if c.tag.startswith("appropriations-"):
+                scope = self.account(c, scope)
             elif c.tag == "section":
                 self.section(c, scope)
             elif c.tag in CONTAINERS:
-                name = flat(c.find("header"))
-                if depth == 1:
-                    inner = scope.copy(major=name, middle="", named="")
-                elif depth == 2:
-                    inner = scope.copy(middle=name, named="")
-                else:
-                    inner = scope.copy(middle=" - ".join(x for x in (scope.middle, name) if x), named="")
-                self.children(c, inner, depth + 1)
-
-    def account(self, el: ET.Element, scope: Scope) -> None:
-        header, level = flat(el.find("header")), LEVELS[el.tag]
-        effective = scope.named if level and (not header or _PAREN.fullmatch(header)) and scope.named and header else header
-        if level == 0:
-            scope.major, scope.middle = header, ""
-        elif level == 1:
-            scope.middle = header or scope.middle
-        if level == 0 or (header and not _PAREN.fullmatch(header)):
-            scope.named = header
-        body = _join(el, " ")
-        if body:
-            at = scope.copy(middle="") if level == 1 else scope
-            self.emit(el, at, effective, header, body)
+                self.children(c, self._inside(flat(c.find("header")), scope, contained), True)
+
+    @staticmethod
+    def _inside(header: str, scope: Scope, contained: bool) -> Scope:
+        """A container's header is its children's major heading; in a container it is their middle one, added to one in force."""
+        if not contained or scope.major is None:
+            return replace(scope, major=header, middle=None, named=None)
+        middle = header if scope.middle is None else " - ".join([scope.middle, header] if header else [scope.middle])
+        return replace(scope, middle=middle, named=None)
+
+    def account(self, el: ET.Element, scope: Scope) -> Scope:
+        level, header = LEVELS.get(el.tag), flat(el.find("header"))
+        if level is None:
+            return scope
+        aside = bool(_PAREN.fullmatch(header))
+        effective = scope.named if level and aside else header
+        named = header if not level or (header and not aside) else scope.named
+        scope = replace(scope, named=named, **({"major": header, "middle": None} if level == 0 else {"middle": header} if level == 1 else {}))
+        if body := _join(el, " "):
+            # A middle heading's own node stands under the effective one, a small heading's under both.
+            path = scope.path(None, None) if level == 0 else scope.path(effective, None) if level == 1 else scope.path(scope.middle, effective)
+            self.emit(el, scope, path, header, body)
+        return scope
 
     def section(self, el: ET.Element, scope: Scope) -> None:
         number, header = section_number(el), flat(el.find("header"))
-        leaf = f"Sec. {number}" if number else header
-        wraps = any(c.tag in LEVELS for c in el)
-        if wraps:
-            self.emit(el, scope, leaf.lower(), header, flat(el.find("text")), number)
-            self.children(el, scope.copy())
-        elif body := section_text(el):
-            self.emit(el, scope, leaf.lower(), header, body, number)
+        path = scope.path(scope.middle, number.lower())
+        accounts = [c for c in el if c.tag.startswith("appropriations-")]
+        if not accounts:
+            if body := section_text(el):
+                self.emit(el, scope, path, header, body, number)
+            return
+        text = el.find("text")
+        if text is not None:  # also where it is empty
+            self.emit(el, scope, path, header, flat(text), number)
+        for c in accounts:
+            scope = self.account(c, scope)
 
     def bare(self, body: ET.Element) -> None:
         for el in body.findall("section"):
-            number, header, text = section_number(el), flat(el.find("header")), section_text(el)
-            leaf = f"Sec. {number}" if number else header
-            if text:
-                self.emit(el, Scope("", ""), leaf.lower(), header, text, number, shown=leaf)
-
-    def title(self, el: ET.Element, division: str) -> None:
-        enum, header = flat(el.find("enum")), flat(el.find("header"))
-        self.children(el, Scope(f"Title {enum}: {header}" if enum and header else f"Title {enum}" if enum else header, division))
+            if text := section_text(el):
+                number = section_number(el)
+                self.emit(el, Scope(), [number.lower()] * bool(number), flat(el.find("header")), text, number, [number] * bool(number))
 
 
 def section_number(el: ET.Element) -> str:
-    return flat(el.find("enum")).strip().rstrip(".")
+    """``Sec. N``, or nothing; only the number's own text counts."""
+    enum = el.find("enum")
+    return f"Sec. {enum.text.strip().rstrip('.')}" if enum is not None and enum.text else ""
 
 
 def section_text(el: ET.Element) -> str:
     text = el.find("text")
-    return flat(text) if text is not None and el.find("subsection") is None else _join(el, "")
+    return flat(text) if text is not None and el.find("subsection") is None else _join(el, "").strip()
 
 
 def body_of(root: ET.Element) -> ET.Element:
@@ -140,12 +140,12 @@ def walk(root: ET.Element) -> list[dict]:
     w.bare(body)
     divisions = body.findall("division")
     for d in divisions:
-        enum, header = flat(d.find("enum")), flat(d.find("header"))
-        label = f"Division {enum}: {header}" if header else f"Division {enum}"
+        enum, header = d.find("enum"), flat(d.find("header"))
+        label = f"Division {(enum.text or '').strip() if enum is not None else ''}" + (f": {header}" if header else "")
         for t in d.findall("title"):
-            w.title(t, label)
+            w.children(t, Scope(flat(t.find("header")), label))
     for t in () if divisions else body.findall("title"):
-        w.title(t, "")
+        w.children(t, Scope(flat(t.find("header"))))
     return w.rows
 
 
@@ -157,8 +157,8 @@ def bill_number(text: str) -> tuple[str, int | None]:
     return "", None
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ``SCHEMA`` for every XML file under ``path``."""
+def parse(files: DataFrame) -> DataFrame:
+    """Rows of ``SCHEMA`` for each of (path, content): one for each text-bearing element, or one with ``error``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -177,7 +177,11 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
     from ..functions.text import congress_number
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path).select("path", "content")
     columns = [c for c in SCHEMA.split(", ") if not c.startswith("congress ")] + ["congress_text string"]
-    rows = files.mapInPandas(run, ", ".join(columns))
+    rows = files.select("path", "content").mapInPandas(run, ", ".join(columns))
     return rows.withColumn("congress", congress_number(F.col("congress_text"))).select(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """``parse`` of every XML file under ``path``."""
+    return parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path))

@@ -11,6 +11,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
@@ -19,9 +20,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 ATTEMPTS, PAGE_SIZE, TIMEOUT = 3, 250, 30
 
 
-def api_key() -> str:
-    """The key in ``CONGRESS_API_KEY``, else the public demonstration key."""
-    return os.environ.get("CONGRESS_API_KEY") or "DEMO_KEY"
+def api_key(env_file: str = ".env") -> str:
+    """The key in ``CONGRESS_API_KEY``, of the environment or else of ``env_file``; with a warning the public demonstration key."""
+    key = os.environ.get("CONGRESS_API_KEY")
+    if not key and os.path.isfile(env_file):
+        with open(env_file, encoding="utf-8") as f:
+            pairs = [x.strip().removeprefix("export ").partition("=") for x in f if "=" in x and not x.lstrip().startswith("#")]
+        key = next((v.strip().strip("'\"") for k, _, v in pairs if k.strip() == "CONGRESS_API_KEY"), None)
+    if not key:
+        warnings.warn("CONGRESS_API_KEY isn't set; the demonstration key allows few requests", stacklevel=2)
+    return key or "DEMO_KEY"
 
 
 def fetch(url: str, get: Callable[[str], tuple[int, bytes]] | None = None, wait: Callable[[float], None] = time.sleep) -> bytes:
@@ -37,7 +45,7 @@ def fetch(url: str, get: Callable[[str], tuple[int, bytes]] | None = None, wait:
             wait(2**k)
         else:
             break
-    raise RuntimeError(f"{url}: status {status}")
+    raise RuntimeError(f"{url.partition('?')[0]}: status {status}")  # what follows holds the key
 
 
 def _get(url: str) -> tuple[int, bytes]:

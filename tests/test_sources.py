@@ -25,9 +25,9 @@ def test_xml_scan(spark, tmp_path):
     rows = got.where("error IS NULL").orderBy("ord").collect()
     assert [r.element_id for r in rows] == ["s0", "i1", "i2", "s1"]
     assert rows[0].display_path == ["Sec. 1"] and rows[0].body_text == "This Act may be cited."
-    assert rows[1].match_path == ["title i: army", "operations", "fuel"] and rows[1].display_path[0] == "Division A: Military"
+    assert rows[1].match_path == ["army", "operations", "fuel"] and rows[1].display_path[0] == "Division A: Military"
     assert rows[2].match_path[-1] == "fuel" and rows[2].header_text == "(including transfers)"
-    assert rows[3].match_path == ["title i: army", "other", "sec. 101"] and rows[3].body_text == "Words(1) here."
+    assert rows[3].match_path == ["army", "other", "sec. 101"] and rows[3].body_text == "Words(1) here."
     assert (rows[0].congress, rows[0].bill_type, rows[0].bill_number, rows[0].version) == (118, "hr", 4366, "reported")
     text = serialized(got.where("error IS NULL"), ["file"]).first().text
     assert text.startswith("SEC. 1.  This Act") and "Operations" in text
