@@ -537,10 +537,19 @@ def _later(rows: DataFrame, enough: int, split: int) -> DataFrame:
     all_ = stored(found(rows, rare, lines, words, enough, split))
     same = all_.where(F.col("start").isNotNull()).select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no"), "start", "end", F.lit("same").alias("reason"))
     pairs = all_.where(F.col("start").isNull())
-    gone = stored(_held(rows, stored(pairs.where(F.col("doc_a").isNotNull()).select("doc_a", "line_a", "doc_b", "line_b").distinct())))
+    later = [F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")]
+    # First the nearest partner of each line, then the others of lines whose nearest doesn't hold.
+    best = pairs.where(F.col("doc_a").isNotNull()).groupBy("doc_b", "line_b").agg(F.min(F.struct("apart", "doc_a", "line_a")).alias("p"))
+    best = stored(best.select("p.doc_a", "p.line_a", "doc_b", "line_b"))
+    gone = stored(_held(rows, best))
+    open_ = stored(best.select(*later).join(gone, ["doc", "line_no"], "left_anti"))
+    left = stored(pairs.join(open_.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"], "left_semi"))
+    others = stored(left.where(F.col("doc_a").isNotNull()).select("doc_a", "line_a", "doc_b", "line_b").distinct())
+    if not others.isEmpty():
+        gone = stored(gone.unionByName(_held(rows, others)).distinct())
     # Lines that didn't offer all their partners, and of which none holds so far, are looked at in full: the lists of
     # their own prefixes alone are made again.
-    rest = stored(pairs.where("more").select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")).distinct().join(gone, ["doc", "line_no"], "left_anti"))
+    rest = stored(left.where("more").select(*later).distinct().join(gone, ["doc", "line_no"], "left_anti"))
     if not rest.isEmpty():
         bits = J.bitmap(prefix_words(rows, rest, rare), "word")
         full = candidates(rows, rare, words, _bits(rest, "doc", "line_no"), bits, split)
