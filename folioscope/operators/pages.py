@@ -61,7 +61,7 @@ def anchors(lines: DataFrame) -> DataFrame:
     title, section = T.title_text(F.col("text")), T.section_text(F.col("text"))
     one = seen.select(*DOC, "page", "line_number", F.when(title.isNotNull(), "title").otherwise("section").alias("kind"), F.coalesce(title, section).alias("text")).where("text IS NOT NULL")
     account = seen.where(title.isNull() & section.isNull() & T.account_trigger(F.col("text")) & F.col("above").isNotNull())
-    account = account.select(*DOC, "page", F.col("above.line_number").alias("line_number"), F.lit("account").alias("kind"), F.col("above.text").alias("text"))
+    account = account.select(*DOC, "page", F.col("above.line_number").alias("line_number"), F.lit("account").alias("kind"), F.regexp_replace("above.text", rf"^{T.WS}|{T.WS}$", "").alias("text"))
     return one.unionByName(account).dropDuplicates([*DOC, "page", "line_number", "kind", "text"])
 
 
@@ -73,21 +73,22 @@ def breadcrumbs(found: DataFrame) -> DataFrame:
 
 
 def blocks(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (doc_id, version, block_ord, anchor, text, start_page .. end_line, key): lines from one anchor to the next.
+    """Rows (doc_id, version, block_ord, anchor, crumb, text, start_page .. end_line, key): lines from one anchor to the next.
 
     Block 0 is what stands before the first anchor.  An anchor marks the first line at its place.
     """
     order = Window.partitionBy(*DOC).orderBy("page", "line_ord")
     first = Window.partitionBy(*DOC, "page", "line_number").orderBy("line_ord")
-    one = found.groupBy(*DOC, "page", "line_number").agg(F.min_by("text", F.when(F.col("kind") == "title", 0).when(F.col("kind") == "section", 1).otherwise(2)).alias("anchor"))
+    rank = F.when(F.col("kind") == "title", 0).when(F.col("kind") == "section", 1).otherwise(2)
+    one = breadcrumbs(found).groupBy(*DOC, "page", "line_number").agg(F.min_by(F.struct("text", "crumb"), rank).alias("a")).select(*DOC, "page", "line_number", F.col("a.text").alias("anchor"), F.col("a.crumb").alias("crumb"))
     seq = lines.withColumn("nth", F.row_number().over(first)).join(one.withColumn("nth", F.lit(1)), [*DOC, "page", "line_number", "nth"], "left")
     seq = seq.withColumn("block_ord", F.count("anchor").over(order)).withColumn("seq", F.row_number().over(order))
-    rows = F.array_sort(F.collect_list(F.struct("seq", "text", "page", "line_number", "anchor")))
+    rows = F.array_sort(F.collect_list(F.struct("seq", "text", "page", "line_number", "anchor", "crumb")))
     b = seq.groupBy(*DOC, "block_ord").agg(rows.alias("r"))
     body = F.array_join(F.transform("r", lambda x: x["text"]), "\n")
     last = F.element_at("r", -1)
     anchor = F.when(F.col("block_ord") > 0, F.col("r")[0]["anchor"])
-    b = b.select(*DOC, "block_ord", anchor.alias("anchor"), body.alias("text"), F.col("r")[0]["page"].alias("start_page"), F.col("r")[0]["line_number"].alias("start_line"), last["page"].alias("end_page"), last["line_number"].alias("end_line"))
+    b = b.select(*DOC, "block_ord", anchor.alias("anchor"), F.when(F.col("block_ord") > 0, F.col("r")[0]["crumb"]).alias("crumb"), body.alias("text"), F.col("r")[0]["page"].alias("start_page"), F.col("r")[0]["line_number"].alias("start_line"), last["page"].alias("end_page"), last["line_number"].alias("end_line"))
     return b.withColumn("key", block_key(F.col("anchor"), F.col("text")))
 
 
@@ -128,7 +129,7 @@ def hunks(found: DataFrame) -> DataFrame:
     elsewhere are moved; those keep the place of the removed one.
     """
     found = stored(found)
-    side = lambda v, k, i: found.where(F.col("version") == v).select("doc_id", F.col("block_ord").alias(i), F.struct("anchor", "text", "start_page", "start_line", "end_page", "end_line").alias(k))
+    side = lambda v, k, i: found.where(F.col("version") == v).select("doc_id", F.col("block_ord").alias(i), F.struct("anchor", "crumb", "text", "start_page", "start_line", "end_page", "end_line").alias(k))
     steps = align(found).join(side(1, "v1", "i"), ["doc_id", "i"], "left").join(side(2, "v2", "j"), ["doc_id", "j"], "left")
     steps = stored(steps.where(F.col("v1").isNull() | F.col("v2").isNull() | (F.col("v1.text") != F.col("v2.text"))))
     none = lambda c: F.lit(None).cast(steps.schema[c].dataType).alias(c)

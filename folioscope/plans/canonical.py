@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.amounts import real_changes
@@ -12,68 +15,144 @@ from ..functions.sequences import percent, word_diff
 VERSION = "1.2"
 #: The order in which reports name the kinds.
 SHOWN = ("modified", "added", "removed", "moved")
+KINDS = ("added", "removed", "modified", "unchanged", "moved")
 
 
 def change_id(order: Column, keys: list[str]) -> Column:
     return F.format_string("c-%04d", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
+@pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _found(texts: pd.Series, full: pd.Series) -> pd.Series:
+    """Places of texts in a full text, each sought from the end of the hit before it, or from the beginning where that misses."""
+    out = []
+    for ts, whole in zip(texts, full, strict=True):
+        hint, spans = 0, []
+        for t in ts:
+            at = whole.find(t, hint)
+            at = whole.find(t) if at < 0 else at
+            spans.append({"start": at, "end": at + len(t)} if at >= 0 else None)
+            hint = at + len(t) if at >= 0 else hint
+        out.append(spans)
+    return pd.Series(out, dtype=object)
+
+
 def search_spans(changes: DataFrame, full: DataFrame, side: str) -> DataFrame:
     """Rows (pair_id, out_ord, start, end): where each change's text stands in the full text (pair_id, full_text).
 
-    The search goes on from the last hit and starts from the beginning again where it misses.
+    The search goes on from the last hit and starts from the beginning again where it misses.  One pair's texts are one row.
     """
     own = f"{side}_text"
     rows = F.array_sort(F.collect_list(F.struct("out_ord", F.col(own).alias("t"))))
     some = changes.where(F.col(own).isNotNull() & (F.col(own) != "")).groupBy("pair_id").agg(rows.alias("r")).join(full, "pair_id")
-    spans = "array<struct<out_ord:double,start:int,end:int>>"
-    first = F.struct(F.lit(1).alias("hint"), F.array().cast(spans).alias("out"))
+    spans = some.select("pair_id", "r", _found(F.transform("r", lambda x: x["t"]), F.col("full_text")).alias("s"))
+    one = spans.select("pair_id", F.explode(F.arrays_zip(F.transform("r", lambda x: x["out_ord"]).alias("out_ord"), F.col("s").alias("s"))).alias("x"))
+    return one.where(F.col("x.s").isNotNull()).select("pair_id", "x.out_ord", "x.s.start", "x.s.end")
+
 
-    def step(s: Column, x: Column) -> Column:
-        ahead = F.call_function("locate", x["t"], F.col("full_text"), s["hint"])
-        at = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", x["t"], F.col("full_text"), F.lit(1)))
-        end = at + F.length(x["t"])
-        one = F.struct(x["out_ord"].alias("out_ord"), (at - 1).alias("start"), (end - 1).alias("end"))
-        return F.struct(F.when(at > 0, end).otherwise(1).alias("hint"), F.when(at > 0, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+#: The contract's change but its move, whose fields depend on its kind.
+CHANGE = (
+    "struct<id:string,change_type:string,section_number:string,path:struct<v1:array<string>,v2:array<string>>,"
+    "location:struct<v1:struct<start_page:int,start_line:int,end_page:int,end_line:int>,v2:struct<start_page:int,start_line:int,end_page:int,end_line:int>>,anchor_resolution:string,"
+    "text:struct<old:string,new:string>,amounts:array<struct<old:bigint,new:bigint>>,full_text_span:struct<v1:struct<start:int,end:int>,v2:struct<start:int,end:int>>>"
+)
+NULLS = {"ignoreNullFields": "false"}
 
-    return some.select("pair_id", F.inline(F.aggregate("r", first, step)["out"]))
 
+def extended(json: Column, name: str, value: Column) -> Column:
+    """A JSON object with one more field, whose value is JSON."""
+    return F.concat(F.substring(json, 1, F.length(json) - 1), F.lit(f',"{name}":'), value, F.lit("}"))
 
-def canonical(changes: DataFrame, versions: DataFrame) -> DataFrame:
-    """Rows (pair_id, json): the contract's document of each pair, unchanged nodes left out.
 
-    ``versions`` has pair_id, bill_type, congress, bill_number, label_old, label_new, number_old, number_new.
+def documents(one: DataFrame, heads: DataFrame, source: str, full_text: DataFrame | None = None) -> DataFrame:
+    """Rows (pair_id, json) of changes (pair_id, out_ord, change, move), ``change`` as ``CHANGE`` without its id and ``move`` a struct or null.
+
+    ``heads`` has pair_id, bill_type, congress, bill_number, label_old, label_new, number_old, number_new; ``full_text`` (pair_id, v1,
+    v2) is what spans refer to.  A pair without changes has an empty list.
+    """
+    named = one.select("pair_id", "out_ord", F.col("change").withField("id", change_id(F.col("out_ord"), ["pair_id"])).alias("c"), "move")
+    text = extended(F.to_json(F.col("c").cast(CHANGE), NULLS), "move", F.coalesce(F.to_json("move"), F.lit("null")))
+    lists = named.select("pair_id", F.struct("out_ord", text.alias("x")).alias("one"), F.col("c.change_type").alias("kind")).groupBy("pair_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["x"]), ",").alias("changes"),
+        F.struct(*[F.count_if(F.col("kind") == k).cast("int").alias(k) for k in SHOWN]).alias("summary"),
+    )
+    side = lambda s: F.struct(F.coalesce(f"label_{s}", F.lit("")).alias("label"), F.col(f"number_{s}").cast("int").alias("version_number"), F.lit(source).alias("source"))
+    none = F.struct(*[F.lit(0).alias(k) for k in SHOWN])
+    whole = F.lit(None).cast("struct<v1:string,v2:string>")
+    rows = heads.join(lists, "pair_id", "left")
+    if full_text is not None:
+        rows = rows.join(full_text.select("pair_id", F.struct(F.coalesce("v1", F.lit("")).alias("v1"), F.coalesce("v2", F.lit("")).alias("v2")).alias("whole")), "pair_id", "left")
+        whole = F.col("whole")
+    head = F.struct(
+        F.lit(VERSION).alias("schema_version"), F.struct(F.lit("folioscope").alias("name"), F.lit("1").alias("version")).alias("generator"),
+        F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in (("bill_type", "type"), ("bill_number", "number"), ("congress", "congress"))]).alias("bill"),
+        F.struct(side("old").alias("v1"), side("new").alias("v2")).alias("versions"), F.coalesce("summary", none).alias("summary"), whole.alias("full_text"),
+    )
+    return rows.select("pair_id", extended(F.to_json(head, NULLS), "changes", F.concat(F.lit("["), F.coalesce("changes", F.lit("")), F.lit("]"))).alias("json"))
+
+
+def pairs_shown(pairs: Column) -> Column:
+    return F.coalesce(real_changes(pairs), F.array().cast("array<struct<old:bigint,new:bigint>>"))
+
+
+def canonical(changes: DataFrame, heads: DataFrame, full_text: DataFrame | None = None) -> DataFrame:
+    """Rows (pair_id, json): the contract's document of each pair of bill versions, unchanged nodes left out; see ``documents``.
+
+    With ``full_text`` each change has the places of its texts, sought in order.
     """
     c = changes.where("change_type <> 'unchanged'")
-    move = F.when(F.col("change_type") == "moved", F.struct(F.lit("relocated").alias("kind"), T.squeeze(F.col("old_text")).eqNullSafe(T.squeeze(F.col("new_text"))).alias("body_unchanged")))
-    pairs = F.coalesce(real_changes(F.col("financial.paired_amounts")), F.array().cast("array<struct<old:bigint,new:bigint>>"))
+    span = F.lit(None).cast("struct<v1:struct<start:int,end:int>,v2:struct<start:int,end:int>>")
+    if full_text is not None:
+        for side, v in (("old", "v1"), ("new", "v2")):
+            found = search_spans(c, full_text.select("pair_id", F.col(v).alias("full_text")), side)
+            c = c.join(found.select("pair_id", "out_ord", F.struct("start", "end").alias(v)), ["pair_id", "out_ord"], "left")
+        span = F.struct("v1", "v2")
+    filled = lambda p: F.when(F.size(p) > 0, F.col(p))
+    same = F.coalesce("old_text", F.lit("")) == F.coalesce("new_text", F.lit(""))
+    move = F.when(F.col("change_type") == "moved", F.struct(F.lit("relocated").alias("kind"), same.alias("body_unchanged")))
     one = F.struct(
-        F.col("out_ord"), change_id(F.col("out_ord"), ["pair_id"]).alias("id"), "change_type", "section_number",
-        F.struct(F.col("display_path_old").alias("v1"), F.col("display_path_new").alias("v2")).alias("path"), F.lit(None).cast("string").alias("location"), F.lit("resolved").alias("anchor_resolution"),
-        F.struct(F.col("old_text").alias("old"), F.col("new_text").alias("new")).alias("text"), pairs.alias("amounts"), move.alias("move"),
+        F.lit("").alias("id"), "change_type", F.coalesce("section_number", F.lit("")).alias("section_number"), F.struct(filled("display_path_old").alias("v1"), filled("display_path_new").alias("v2")).alias("path"),
+        F.lit(None).alias("location"), F.lit("resolved").alias("anchor_resolution"), F.struct(F.col("old_text").alias("old"), F.col("new_text").alias("new")).alias("text"),
+        pairs_shown(F.col("financial.paired_amounts")).alias("amounts"), span.alias("full_text_span"),
     )
-    lists = c.select("pair_id", "change_type", one.alias("one")).groupBy("pair_id").agg(
-        F.transform(F.array_sort(F.collect_list("one")), lambda x: x.dropFields("out_ord")).alias("changes"),
-        F.struct(*[F.count_if(F.col("change_type") == k).alias(k) for k in SHOWN]).alias("summary"),
-    )
-    side = lambda s: F.struct(F.col(f"label_{s}").alias("label"), F.col(f"number_{s}").alias("version_number"), F.lit("xml").alias("source"))
-    head = [
-        F.lit(VERSION).alias("schema_version"), F.struct(F.lit("folioscope").alias("name"), F.lit("1").alias("version")).alias("generator"),
-        F.struct(F.col("bill_type").alias("type"), F.col("bill_number").cast("string").alias("number"), F.col("congress").cast("string").alias("congress")).alias("bill"),
-        F.struct(side("old").alias("v1"), side("new").alias("v2")).alias("versions"),
-    ]
-    doc = F.struct(*head, "summary", F.lit(None).cast("string").alias("full_text"), "changes")
-    return versions.join(lists, "pair_id").select("pair_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+    return documents(c.select("pair_id", "out_ord", one.alias("change"), move.alias("move")), heads, "xml", full_text)
 
 
 def view_of(json: DataFrame) -> DataFrame:
-    """Rows of changes read back from (pair_id, json)."""
-    pair = "struct<old:bigint,new:bigint>"
-    kind = (
-        "struct<changes:array<struct<id:string,change_type:string,section_number:string,path:struct<v1:array<string>,v2:array<string>>,"
-        f"text:struct<old:string,new:string>,amounts:array<{pair}>,move:struct<kind:string,body_unchanged:boolean>>>>"
-    )
-    return json.select("pair_id", F.inline(F.from_json("json", kind)["changes"]))
+    """Rows of changes read back from (pair_id, json): the fields of ``CHANGE``, move, source and place, the change's number from 0."""
+    whole = f"struct<versions:struct<v1:struct<source:string>>,changes:array<{CHANGE[:-1]},move:struct<kind:string,old_label:string,new_label:string,body_unchanged:boolean>>>>"
+    rows = json.select("pair_id", F.from_json("json", whole).alias("d"))
+    return rows.select("pair_id", F.col("d.versions.v1.source").alias("source"), F.posexplode("d.changes").alias("place", "c")).select("pair_id", "source", "place", "c.*")
+
+
+def json_diff(changes: DataFrame, heads: DataFrame, financial: bool = False) -> DataFrame:
+    """Rows (pair_id, json): every change given, with its paths, texts and line diff, and a summary of all kinds.
+
+    ``financial`` adds each change's amounts where it has any, and how many sections changed theirs.  ``heads`` is as in
+    ``documents``; a null number is left out.
+    """
+    fields = ["match_path", "change_type", "old_text", "new_text", "text_diff", "section_number", "element_id_old", "element_id_new"]
+    filled = lambda p: F.when(F.size(p) > 0, F.col(p)).alias(p)
+    one = F.to_json(F.struct(filled("display_path_old"), filled("display_path_new"), *fields), NULLS)
+    f = F.col("financial")
+    if financial:
+        pairs = F.transform(f["paired_amounts"], lambda p: F.array(p["old"], p["new"]))
+        shown = F.struct(f["old_amounts"].alias("old_amounts"), f["new_amounts"].alias("new_amounts"), f["amounts_changed"].alias("amounts_changed"), pairs.alias("paired_amounts"), f["has_amendment_annotations"].alias("has_amendment_annotations"))
+        one = F.when(f.isNotNull(), extended(one, "financial", F.to_json(shown, NULLS))).otherwise(one)
+    counts = F.struct(*[F.count_if(F.col("change_type") == k).cast("int").alias(k) for k in KINDS])
+    lists = changes.withColumn("one", F.struct("out_ord", one.alias("x"))).groupBy("pair_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["x"]), ",").alias("changes"), counts.alias("summary"),
+        F.count_if(F.coalesce(f["amounts_changed"], F.lit(False))).cast("int").alias("sections"),
+    )
+    none = F.struct(*[F.lit(0).alias(k) for k in KINDS])
+    rows = heads.join(lists, "pair_id", "left")
+    head = F.struct(F.col("label_old").alias("old_version"), F.col("label_new").alias("new_version"), "congress", "bill_type", "bill_number", F.coalesce("summary", none).alias("summary"))
+    doc = extended(F.to_json(head, NULLS), "changes", F.concat(F.lit("["), F.coalesce("changes", F.lit("")), F.lit("]")))
+    if financial:
+        doc = extended(doc, "financial_summary", F.to_json(F.struct(F.coalesce("sections", F.lit(0)).alias("sections_with_financial_changes"))))
+    for s in ("old", "new"):
+        doc = F.when(F.col(f"number_{s}").isNotNull(), extended(doc, f"{s}_version_number", F.col(f"number_{s}").cast("string"))).otherwise(doc)
+    return rows.select("pair_id", doc.alias("json"))
 
 
 def serialized(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,27 +189,24 @@ def _amount_rows(change: str) -> Column:
     return F.array_join(F.transform(change, lambda p: F.concat(F.lit("<li>"), T.dollars(p["old"]), F.lit(" → "), T.dollars(p["new"]), F.lit(" ("), T.delta(p["new"] - p["old"]), F.lit(")</li>"))), "")
 
 
-def cards(changes: DataFrame) -> DataFrame:
-    """Rows (pair_id, out_ord, change_type, card, nav, row): the HTML of each change but unchanged ones."""
-    c = changes.where("change_type <> 'unchanged'").withColumn("id", change_id(F.col("out_ord"), ["pair_id"]))
-    heading = T.path_html(F.coalesce("display_path_new", "display_path_old"))
-    old, new = T.escape(F.coalesce("old_text", F.lit(""))), T.escape(F.coalesce("new_text", F.lit("")))
-    plain = F.concat(F.when(F.col("old_text").isNotNull(), F.concat(F.lit("<del>"), old, F.lit("</del>"))).otherwise(""), F.when(F.col("new_text").isNotNull(), F.concat(F.lit("<ins>"), new, F.lit("</ins>"))).otherwise(""))
+def cards(views: DataFrame) -> DataFrame:
+    """Rows (pair_id, out_ord, change_type, card, nav, row): the HTML of each change of ``views``."""
+    c = views.withColumn("id", change_id(F.col("out_ord"), ["pair_id"]))
+    old, new = T.escape(F.col("old_text")), T.escape(F.col("new_text"))
+    plain = F.concat(F.when(F.col("old_text") != "", F.concat(F.lit("<del>"), old, F.lit("</del>"))).otherwise(""), F.when(F.col("new_text") != "", F.concat(F.lit("<ins>"), new, F.lit("</ins>"))).otherwise(""))
     edited = c.where("change_type IN ('modified', 'moved')").withColumn("prose", F.coalesce(word_diff("old_text", "new_text"), plain))
     c = edited.unionByName(c.where("change_type NOT IN ('modified', 'moved')").withColumn("prose", plain))
-    real = F.coalesce(real_changes(F.col("financial.paired_amounts")), F.array().cast("array<struct<old:bigint,new:bigint>>"))
-    c = c.withColumn("real", real)
-    callout = F.when(F.size("real") > 0, F.concat(F.lit("<ul class=amounts>"), _amount_rows("real"), F.lit("</ul>"))).otherwise("")
+    callout = F.when(F.size("amount_pairs") > 0, F.concat(F.lit("<ul class=amounts>"), _amount_rows("amount_pairs"), F.lit("</ul>"))).otherwise("")
     tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name.split()[0]}>"))
-    card = F.concat(F.lit("<article id='"), F.col("id"), F.lit("' class="), F.col("change_type"), F.lit(">"), tag("h3", heading), callout, tag("p", F.col("prose")), F.lit("</article>"))
-    nav = F.concat(F.lit("<li><a href='#"), F.col("id"), F.lit("'>"), heading, F.lit("</a></li>"))
-    rows = F.transform("real", lambda p: F.concat(F.lit("<tr><td>"), heading, F.lit("</td><td>"), T.dollars(p["old"]), F.lit("</td><td>"), T.dollars(p["new"]), F.lit("</td><td>"), T.delta(p["new"] - p["old"]), F.lit("</td></tr>")))
+    card = F.concat(F.lit("<article id='"), F.col("id"), F.lit("' class="), F.col("change_type"), F.lit(">"), tag("h3", "heading_html"), F.col("citation_html"), F.col("move_info_html"), callout, tag("p", F.col("prose")), F.lit("</article>"))
+    nav = F.concat(F.lit("<li><a href='#"), F.col("id"), F.lit("'>"), F.col("nav_label_html"), F.lit("</a></li>"))
+    rows = F.transform("amount_pairs", lambda p: F.concat(F.lit("<tr><td>"), F.col("heading_html"), F.lit("</td><td>"), T.dollars(p["old"]), F.lit("</td><td>"), T.dollars(p["new"]), F.lit("</td><td>"), T.delta(p["new"] - p["old"]), F.lit("</td></tr>")))
     return c.select("pair_id", "out_ord", "change_type", card.alias("card"), nav.alias("nav"), F.array_join(rows, "").alias("row"))
 
 
-def report(changes: DataFrame, title: DataFrame) -> DataFrame:
-    """Rows (pair_id, html): one self-contained page for each pair; ``title`` has (pair_id, title)."""
-    parts = cards(changes).groupBy("pair_id").agg(
+def report(views: DataFrame, title: DataFrame) -> DataFrame:
+    """Rows (pair_id, html): one self-contained page for each pair of ``views``; ``title`` has (pair_id, title)."""
+    parts = cards(views).groupBy("pair_id").agg(
         F.array_sort(F.collect_list(F.struct("out_ord", "card", "nav", "row"))).alias("p"),
         *[F.count_if(F.col("change_type") == k).alias(k) for k in SHOWN],
     )

@@ -12,9 +12,10 @@ from ..functions import sequences as S
 from ..functions import text as T
 from ..operators import classify, match, pages, versions
 from ..sources import bill_xml
-from . import bills
+from ..storage import stored
+from . import bills, contract, printed
 from . import canonical as C
-from .fixture import CHANGES, MATCHED, WITH, alike, nodes, rows
+from .fixture import CHANGES, MATCHED, WITH, nodes, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,10 +125,84 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.summary(classify.reconcile_moves(classify.classify(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))))
 
 
+def heads(d: DataFrame) -> DataFrame:
+    return d.select("pair_id", F.lit("hr").alias("bill_type"), F.lit(118).alias("congress"), F.col("pair_id").alias("bill_number"), F.lit("old").alias("label_old"), F.lit("new").alias("label_new"), F.lit(1).alias("number_old"), F.lit(2).alias("number_new"))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(changes, their documents with full texts)."""
+    d = stored(bill_diff(spark, sf_dir))
+    old, new = (C.serialized(nodes(spark, sf_dir, s), ["pair_id"]).withColumnRenamed("text", v) for s, v in (("old", "v1"), ("new", "v2")))
+    return d, C.canonical(d, heads(d.select("pair_id").distinct()), old.join(new, "pair_id", "full_outer"))
+
+
+SERIAL = """{s}_h AS (SELECT *, CASE WHEN leaf LIKE 'dup%' THEN [division, leaf] ELSE [division, top] END AS head FROM {s}),
+{s}_l AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY pair_id ORDER BY k), []) AS prev FROM {s}_h),
+{s}_p AS (SELECT pair_id, k, array_to_string(list_concat(CASE WHEN head = prev THEN [] WHEN head[1] = prev[1] THEN head[2:] ELSE head END, [CASE WHEN leaf LIKE 'sec%' THEN 'SEC. ' || k || '.  ' ELSE '' END || body]), chr(10) || chr(10)) AS part FROM {s}_l),
+{s}_text AS (SELECT pair_id, string_agg(part, chr(10) || chr(10) ORDER BY k) AS text FROM {s}_p GROUP BY 1)"""
+
+
+@query(CHANGES + ", " + SERIAL.format(s="old") + ", " + SERIAL.format(s="new") + """
+SELECT c.pair_id, 'c-' || lpad(CAST(row_number() OVER (PARTITION BY c.pair_id ORDER BY spot) AS VARCHAR), 4, '0') AS id, kind AS change_type,
+       coalesce(nullif(CASE WHEN n.leaf LIKE 'sec%' THEN 'Sec. ' || nk ELSE '' END, ''), CASE WHEN o.leaf LIKE 'sec%' THEN 'Sec. ' || ok ELSE '' END, '') AS section_number,
+       o.division || ' > ' || CASE WHEN o.leaf LIKE 'dup%' THEN o.leaf ELSE o.top || ' > ' || o.leaf END AS path_old, n.division || ' > ' || CASE WHEN n.leaf LIKE 'dup%' THEN n.leaf ELSE n.top || ' > ' || n.leaf END AS path_new,
+       'resolved' AS resolution, a AS old_text, b AS new_text, CASE WHEN kind = 'moved' THEN 'relocated' END AS move, CASE WHEN kind = 'moved' THEN a = b END AS body_unchanged,
+       CAST(CASE WHEN a IS NULL OR b IS NULL OR b LIKE 'repealed%' OR nk % 3 <> 0 AND nk = ok THEN 0 ELSE 1 END AS INTEGER) AS amounts,
+       CAST(strpos(x.text, a) - 1 AS INTEGER) AS old_start, CAST(strpos(x.text, a) - 1 + length(a) AS INTEGER) AS old_end, CAST(strpos(y.text, b) - 1 AS INTEGER) AS new_start, CAST(strpos(y.text, b) - 1 + length(b) AS INTEGER) AS new_end
+FROM changes c LEFT JOIN old o ON o.k = ok LEFT JOIN new n ON n.k = nk LEFT JOIN old_text x ON x.pair_id = c.pair_id LEFT JOIN new_text y ON y.pair_id = c.pair_id WHERE kind <> 'unchanged'""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's changes, read back from its documents."""
+    c = C.view_of(contracts(spark, sf_dir)[1])
+    path = lambda v: F.array_join(f"path.{v}", " > ")
+    span = lambda v, e: F.col(f"full_text_span.{v}.{e}")
+    return c.select(
+        "pair_id", "id", "change_type", "section_number", path("v1").alias("path_old"), path("v2").alias("path_new"), F.col("anchor_resolution").alias("resolution"), F.col("text.old").alias("old_text"), F.col("text.new").alias("new_text"),
+        F.col("move.kind").alias("move"), F.col("move.body_unchanged").alias("body_unchanged"), F.size("amounts").alias("amounts"),
+        span("v1", "start").alias("old_start"), span("v1", "end").alias("old_end"), span("v2", "start").alias("new_start"), span("v2", "end").alias("new_end"),
+    )
+
+
+@query(CHANGES + " SELECT pair_id, count(*) AS views, CAST(0 AS BIGINT) AS unlike, CAST(0 AS BIGINT) AS errors FROM changes WHERE kind <> 'unchanged' GROUP BY 1")
+def contract_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each pair its views, those that differ when read back from the contract, and departures from the contract."""
+    d, json = contracts(spark, sf_dir)
+    return round_trip(contract.xml_views(d), stored(json))
+
+
+def round_trip(views: DataFrame, json: DataFrame) -> DataFrame:
+    place = (F.row_number().over(Window.partitionBy("pair_id").orderBy("out_ord")) - 1).cast("double")
+    views = stored(views.withColumn("out_ord", place))
+    unlike = views.exceptAll(contract.json_views(json)).groupBy("pair_id").agg(F.count("*").alias("unlike"))
+    errors = contract.contract_errors(json).groupBy("pair_id").agg(F.count("*").alias("errors"))
+    return views.groupBy("pair_id").agg(F.count("*").alias("views")).join(unlike, "pair_id", "left").join(errors, "pair_id", "left").na.fill(0, ["unlike", "errors"])
+
+
+@query(CHANGES + f""", f AS (SELECT *, {AMOUNTS.format(x="coalesce(a, '')")} AS x, {AMOUNTS.format(x="coalesce(b, '')")} AS y FROM changes)
+SELECT pair_id, {COUNTED}, count(*) AS changes, count(*) FILTER (WHERE len(x) + len(y) > 0) AS financial, CAST(count(*) FILTER (WHERE list_sort(x) <> list_sort(y)) AS INTEGER) AS sections, '1>2' AS numbers FROM f GROUP BY 1""")
+def json_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON diff with amounts holds, read back."""
+    d = stored(bill_diff(spark, sf_dir))
+    j = C.json_diff(d, heads(d.select("pair_id").distinct()), financial=True)
+    kind = f"struct<summary:struct<{','.join(f'{k}:bigint' for k in classify.KINDS)}>,changes:array<struct<change_type:string,financial:struct<amounts_changed:boolean,paired_amounts:array<array<bigint>>>>>,financial_summary:struct<sections_with_financial_changes:int>,old_version_number:int,new_version_number:int>"
+    j = j.select("pair_id", F.from_json("json", kind).alias("j"))
+    numbers = F.concat_ws(">", F.col("j.old_version_number").cast("string"), F.col("j.new_version_number").cast("string"))
+    return j.select("pair_id", "j.summary.*", F.size("j.changes").cast("bigint").alias("changes"), F.size(F.filter("j.changes", lambda c: c["financial"].isNotNull())).cast("bigint").alias("financial"), F.col("j.financial_summary.sections_with_financial_changes").alias("sections"), numbers.alias("numbers"))
+
+
+@query(CHANGES + """
+, v AS (SELECT c.pair_id, kind, ok, nk, a, b, 'c-' || lpad(CAST(row_number() OVER (PARTITION BY c.pair_id ORDER BY spot) AS VARCHAR), 4, '0') AS id, coalesce(n.division || ' &gt; ' || CASE WHEN n.leaf LIKE 'dup%' THEN n.leaf ELSE n.top || ' &gt; ' || n.leaf END,
+               o.division || ' &gt; ' || CASE WHEN o.leaf LIKE 'dup%' THEN o.leaf ELSE o.top || ' &gt; ' || o.leaf END) AS path, o.amount AS was, n.amount + CASE WHEN nk % 3 = 0 THEN 1000 ELSE 0 END AS now FROM changes c LEFT JOIN old o ON o.k = ok LEFT JOIN new n ON n.k = nk WHERE kind <> 'unchanged')
+SELECT pair_id, id, kind AS change_type, '<li><a href=' || chr(39) || '#' || id || chr(39) || '>' || path || '</a></li>' AS nav,
+       CASE WHEN a IS NULL OR b IS NULL OR b LIKE 'repealed%' OR was = now THEN '' ELSE '<tr><td>' || path || '</td><td>$' || format('{:,}', was) || '</td><td>$' || format('{:,}', now) || '</td><td>' || CASE WHEN now < was THEN '-$' ELSE '+$' END || format('{:,}', abs(now - was)) || '</td></tr>' END AS row FROM v""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = C.cards(contract.xml_views(stored(bill_diff(spark, sf_dir))))
+    return c.select("pair_id", F.regexp_extract("nav", "#(c-[0-9]+)", 1).alias("id"), "change_type", "nav", "row")
+
+
 @query()
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = classify.diff_versions(nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new"))
-    return C.report(d, d.select("pair_id").distinct().withColumn("title", F.concat(F.lit("Pair "), F.col("pair_id").cast("string"))))
+    d = stored(bill_diff(spark, sf_dir))
+    return C.report(contract.xml_views(d), d.select("pair_id").distinct().withColumn("title", F.concat(F.lit("Pair "), F.col("pair_id").cast("string"))))
 
 
 @query(BOTH + " SELECT k, o_custkey AS c, b.old || ' #' || CAST(o_custkey % 5 AS STRING) AS path FROM b JOIN orders ON k = o_orderkey WHERE contains(lower(b.old), 'account12')")
@@ -234,7 +309,10 @@ def similarity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both(spark, sf_dir).select("k", S.similarity_bound(o, n).alias("by_size"), S.bag_overlap(o, n).alias("by_words"))
 
 
-@query()
+@query(BOTH + """
+SELECT k, CASE WHEN k % 7 <> 0 THEN word || ' grants ' || CASE WHEN k % 3 = 0 THEN '<del>$' || amount || '</del> <ins>$' || (amount + 1000) || CASE WHEN k % 5 = 0 THEN ' (increased by $7)' ELSE '' END || '</ins>'
+                                                             WHEN k % 5 = 0 THEN '$' || amount || ' <ins>(increased by $7)</ins>' ELSE '$' || amount END
+                               || ' to ' || account || slots || ' and ' || CASE WHEN k % 3 = 1 THEN 'expenses' ELSE '<del>expenses</del> <ins>charges</ins>' END END AS diff FROM b JOIN base USING (k)""")
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both(spark, sf_dir).select("k", S.word_diff("old", "new").alias("diff"))
 
@@ -496,14 +574,69 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select("name").subtract(nation.join(poor, "n_nationkey").select("name")).unionAll(read(spark, sf_dir, "region").select(F.col("r_name").alias("name")).intersect(asia))
 
 
-@query()
+# Printed pages
+
+
+def page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines = stored(pages.page_lines(printed.raw_pages(spark, sf_dir)))
+    found = stored(pages.anchors(lines))
+    return lines, found, pages.blocks(lines, found)
+
+
+@query(printed.PIPELINE + " SELECT doc_id, version, page, line_number, text, CAST(row_number() OVER (PARTITION BY doc_id, version, page ORDER BY k, i) AS INTEGER) AS place FROM lines")
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("doc_id", "version", "page").orderBy("line_ord"))
+    return pages.page_lines(printed.raw_pages(spark, sf_dir)).select("doc_id", "version", "page", "line_number", "text", place.alias("place"))
+
+
+@query(printed.PIPELINE + " SELECT doc_id, version, page, line_number, kind, text, crumb FROM crumbs")
+def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.breadcrumbs(page_tables(spark, sf_dir)[1]).withColumn("crumb", F.array_join("crumb", " > "))
+
+
+@query(printed.PIPELINE + " SELECT doc_id, version, block_ord, anchor, crumb, md5(text) AS text, md5(key) AS key, a[1] AS start_page, a[2] AS start_line, z[1] AS end_page, z[2] AS end_line FROM blocks")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = page_tables(spark, sf_dir)[2]
+    return b.select("doc_id", "version", "block_ord", "anchor", F.array_join("crumb", " > ").alias("crumb"), F.md5(F.col("text").cast("binary")).alias("text"), F.md5(F.col("key").cast("binary")).alias("key"), "start_page", "start_line", "end_page", "end_line")
+
+
+@query(printed.PIPELINE + " SELECT doc_id, kind AS change_type, spot AS out_ord, a1 AS anchor_old, a2 AS anchor_new, md5(t1) AS old_text, md5(t2) AS new_text, s1[1] AS start_page, s1[2] AS start_line, false AS annotated FROM hunks")
 def page_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of each document as numbered pages of 25 lines, version 2 edited by line number."""
-    line = text_lines(spark, sf_dir)
-    p = F.col("pos")
-    text = F.when(p % 9 == 3, F.concat(F.lit("SEC. "), p.cast("string"), F.lit(". "), F.substring("line", 1, 60))).otherwise(F.substring("line", 1, 120))
-    edit = F.when(p % 18 == 5, F.concat(text, F.lit(" and so on"))).otherwise(text)
-    one = lambda v, x: line.select("doc_id", F.lit(v).alias("version"), F.floor(p / 25).cast("int").alias("page"), (p % 25).alias("line_ord"), (p % 25 + 1).cast("int").alias("line_number"), x.alias("text"))
-    lines = one(1, text).unionByName(one(2, edit).where("NOT (line_number = 13)"))
-    h = pages.hunks(pages.blocks(lines, pages.anchors(lines)))
-    return h.select("doc_id", "change_type", "out_ord", F.col("v1.anchor").alias("anchor_old"), F.col("v2.anchor").alias("anchor_new"), F.size("amount_pairs").alias("amounts"))
+    h = pages.hunks(page_tables(spark, sf_dir)[2])
+    text = lambda v: F.md5(F.col(f"{v}.text").cast("binary"))
+    return h.select("doc_id", "change_type", "out_ord", F.col("v1.anchor").alias("anchor_old"), F.col("v2.anchor").alias("anchor_new"), text("v1").alias("old_text"), text("v2").alias("new_text"), "v1.start_page", "v1.start_line", F.col("has_amendment_annotations").alias("annotated"))
+
+
+@query(printed.PIPELINE + " SELECT doc_id, array_to_string(list_sort(list(kind || '=' || n)), ',') AS summary FROM (SELECT doc_id, kind, count(*) AS n FROM hunks GROUP BY ALL) GROUP BY 1")
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = pages.hunk_summary(pages.hunks(page_tables(spark, sf_dir)[2]))
+    return s.select("doc_id", F.array_join(F.array_sort(F.transform(F.map_entries("summary"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("summary"))
+
+
+@query(printed.PIPELINE + " SELECT doc_id AS pair_id, count(*) AS views, CAST(0 AS BIGINT) AS unlike, CAST(0 AS BIGINT) AS errors FROM hunks GROUP BY 1")
+def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its hunks' views, those that differ when read back from the contract, and departures from the contract."""
+    lines, _, b = page_tables(spark, sf_dir)
+    h = stored(pages.hunks(b))
+    named = heads(h.select(F.col("doc_id").alias("pair_id")).distinct()).withColumns({"number_old": F.lit(None), "number_new": F.lit(None)})
+    return round_trip(contract.page_views(h), stored(contract.page_canonical(h, named, lines)))
+
+
+SPOTS = printed.PIPELINE + """,
+shown AS (SELECT *, CASE WHEN line_number IS NULL THEN '     ' ELSE lpad(CAST(line_number AS VARCHAR), 5, ' ') END || '  ' || text AS s, dense_rank() OVER (PARTITION BY doc_id, version ORDER BY page) AS nth FROM lines),
+begun AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id, version ORDER BY page, k, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + nth - 1 AS start FROM shown)"""
+
+
+@query(SPOTS + """
+SELECT h.doc_id, spot AS out_ord, c1 AS crumb_old, c2 AS crumb_new, CASE WHEN c1 IS NULL AND c2 IS NULL THEN 'degraded' ELSE 'resolved' END AS resolution,
+       CASE WHEN kind = 'moved' THEN CASE WHEN a1 <> a2 THEN 'renumbered' ELSE 'relocated' END END AS move, CASE WHEN x.start IS NOT NULL AND y.start IS NOT NULL THEN CAST(x.start AS INTEGER) END AS old_start, CASE WHEN x.start IS NOT NULL AND y.start IS NOT NULL THEN CAST(y.start + length(y.s) AS INTEGER) END AS old_end
+FROM hunks h LEFT JOIN begun x ON x.version = 1 AND x.doc_id = h.doc_id AND x.page = s1[1] AND x.line_number = s1[2] LEFT JOIN begun y ON y.version = 1 AND y.doc_id = h.doc_id AND y.page = e1[1] AND y.line_number = e1[2]""")
+def page_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's side of hunks, read back from its documents."""
+    lines, _, b = page_tables(spark, sf_dir)
+    h = stored(pages.hunks(b))
+    c = C.view_of(contract.page_canonical(h, heads(h.select(F.col("doc_id").alias("pair_id")).distinct()), lines))
+    order = h.select(F.col("doc_id").alias("pair_id"), "out_ord", (F.row_number().over(Window.partitionBy("doc_id").orderBy("out_ord")) - 1).alias("place"))
+    crumb = lambda v: F.array_join(f"path.{v}", " > ")
+    span = F.col("full_text_span.v1")
+    return c.join(order, ["pair_id", "place"]).select(F.col("pair_id").alias("doc_id"), "out_ord", crumb("v1").alias("crumb_old"), crumb("v2").alias("crumb_new"), F.col("anchor_resolution").alias("resolution"), F.col("move.kind").alias("move"), span["start"].alias("old_start"), span["end"].alias("old_end"))
