@@ -1,136 +1,160 @@
 """Exact top-k search (operator 10) over an impact-ordered index of integer vectors.
 
-Candidates are dealt to groups of about ``GROUP``, queries to blocks of about ``QUERIES``; each pair of them is one task's work, so
-its memory is bounded whatever the table's size.  A group's index has, for each component, posting segments: the
-candidates whose absolute value falls into one quantised level, with their values.  A query takes segments in descending
-order of impact (its own weight times the segment's largest value) and adds to accumulators.  What is left can move a
-score by at most the sum of each component's largest untaken impact, so once few candidates can still reach the k-th
-best of the lower bounds, the rest is proven out and the possible members are scored exactly.
+Candidates are dealt to groups; a group's index is built once, and all queries stream past it in batches, so a task holds one
+group and one batch whatever the table's size.  The index has, for each component, posting segments: the candidates whose
+absolute value falls into one quantised level, with their values.  A query takes segments in descending order of impact
+(its own weight times the segment's largest value) and adds to accumulators.  What a candidate's untaken segments can still
+add is known for each candidate, so once few can still reach the k-th best of the lower bounds, the rest is proven out and
+the possible members are scored exactly, in whole numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, stored
+from .shared import bounded_batches, lean, stored
 
-GROUP, QUERIES, LEVELS = 8192, 1024, 8
-#: Integers up to which sums of products are exact in doubles.
-_EXACT = 2.0**53
+#: Candidates of a group, at least and at most, and levels of a component.
+LEAST_GROUP, MOST_GROUP, LEVELS = 1 << 13, 1 << 16, 8
+#: Integers up to which sums of products are exact in doubles; the bounds of a score.
+_EXACT, _MOST = 2.0**53, 2**63 - 1
 
 
 class ImpactIndex:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], vectors[order]
-        dims = vectors.shape[1]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
+        order = np.lexsort((rows, ids))
+        self.rows, self.ids, self.whole = rows[order], ids[order], vectors[order]
+        self.v = self.whole.astype(np.float64)
         size = np.abs(self.v)
         top = size.max(0, initial=0)
-        level = np.minimum((size * levels) // np.maximum(top + 1, 1), levels - 1).astype(np.int64)
-        self.rows: list[np.ndarray] = []
+        level = np.minimum(size * levels // np.maximum(top + 1, 1), levels - 1).astype(np.int64)
+        #: Each candidate's values rounded up to the largest of their segments.
+        self.upper = np.zeros_like(size)
+        self.postings: list[np.ndarray] = []
         self.values: list[np.ndarray] = []
         dim, most = [], []
-        for d in range(dims):
+        for d in range(vectors.shape[1]):
             by = np.argsort(level[:, d], kind="stable")
             cut = np.searchsorted(level[by, d], np.arange(levels + 1))
             for k in range(levels):
                 if cut[k] < cut[k + 1]:
-                    rows = np.sort(by[cut[k] : cut[k + 1]])
-                    self.rows.append(rows)
-                    self.values.append(self.v[rows, d])
+                    at = np.sort(by[cut[k] : cut[k + 1]])
+                    self.postings.append(at)
+                    self.values.append(self.v[at, d])
                     dim.append(d)
-                    most.append(size[rows, d].max())
+                    most.append(size[at, d].max())
+                    self.upper[at, d] = most[-1]
         self.dim, self.most = np.array(dim, np.int64), np.array(most, np.float64)
+        self.reach = np.sqrt((self.v**2).sum(1))
 
-    def search(self, query: np.ndarray, own: int, k: int, every: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the ``k`` best, equal scores by id; the row whose id is ``own`` takes no part."""
-        n = len(self.ids)
-        impact = np.abs(query)[self.dim] * self.most
+    def search(self, query: np.ndarray, own: int, k: int, every: int = 32) -> tuple[np.ndarray, list[int], int]:
+        """(ids, scores, segments taken) of the ``k`` best, equal scores by id; the candidate whose row is ``own`` takes no part."""
+        n, q = len(self.rows), query.astype(np.float64)
+        impact = np.abs(q)[self.dim] * self.most
         order = np.argsort(-impact, kind="stable")
-        # After t segments, what a component can still add is its next untaken segment's impact, the largest left.
-        taken = self.dim[order]
-        acc = np.zeros(n)
-        out = np.flatnonzero(self.ids == own)
+        acc, left = np.zeros(n), self.upper @ np.abs(q)
+        # What rounding can move a sum by: nothing while all of it is whole in doubles
+        slack = 4 * len(q) * 2.0**-53 * np.sqrt((q**2).sum()) * self.reach
+        slack[slack * 2.0**53 < _EXACT] = 0
+        out = np.flatnonzero(self.rows == own)
         acc[out] = -np.inf
-        left = np.zeros(self.v.shape[1])
-        np.maximum.at(left, self.dim, impact)
-        after = np.zeros(len(order))  # the impact of the same component's next segment
-        last = np.full(len(left), -1, np.int64)
-        for i, d in enumerate(taken):
-            if last[d] >= 0:
-                after[last[d]] = impact[order[i]]
-            last[d] = i
-        rest = left.sum() + np.cumsum(after - impact[order])
-        possible = np.flatnonzero(acc > -np.inf)
-        for i, seg in enumerate(order):
-            acc[self.rows[seg]] += query[self.dim[seg]] * self.values[seg]
-            if i % every == every - 1 and n > 4 * k:
-                floor = np.partition(acc, n - k)[n - k] - rest[i]
-                possible = np.flatnonzero(acc + rest[i] >= floor)
-                if len(possible) <= max(4 * k, n // 50):
-                    break
-        possible = possible[self.ids[possible] != own]
-        score = self.v[possible] @ query
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return self.ids[possible][best], score[best]
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lens = np.diff(np.asarray(column.offsets))
+        possible, taken = np.flatnonzero(acc > -np.inf), 0
+        while taken < len(order) and len(possible) > max(4 * k, n // 50):
+            for seg in order[taken : taken + every]:
+                at = self.postings[seg]
+                acc[at] += q[self.dim[seg]] * self.values[seg]
+                left[at] -= impact[seg]
+            taken += every
+            rest = np.maximum(left, 0) + slack
+            low = acc - rest
+            floor = np.partition(low, n - k)[n - k] if n >= k else -np.inf
+            floor = -np.inf if floor <= -(2.0**63) else min(floor, 2.0**63)  # scores beyond a long are alike
+            possible = np.flatnonzero(acc + rest >= floor)
+        possible = possible[self.rows[possible] != own]
+        score = self._scores(possible, query)
+        best = np.lexsort((self.ids[possible], ~score))[:k]  # ~score falls as the score rises, and has its range
+        return self.ids[possible[best]], score[best].tolist(), min(taken, len(order))
+
+    def _scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products in whole numbers: in doubles where these are exact, else in Python's, kept to the range of a long."""
+        if len(at) and float(np.abs(self.v[at]).max(initial=0)) * float(np.abs(query.astype(np.float64)).max(initial=0)) * max(len(query), 1) >= _EXACT:
+            q = [int(x) for x in query]
+            return np.array([max(-_MOST - 1, min(_MOST, sum(a * b for a, b in zip(map(int, row), q, strict=True)))) for row in self.whole[at]], np.int64)
+        return (self.v[at] @ query.astype(np.float64)).astype(np.int64)
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    offsets = np.asarray(column.offsets)
+    lens = np.diff(offsets)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), dims))
+    out = np.zeros((len(column), dims), np.int64)
     row = np.repeat(np.arange(len(column)), lens)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", group: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row whose id ``every`` divides, the ``k`` best other rows.
 
     Components become floor(scale * x); the score is the integer inner product, ties go to the smaller id.  Vectors that
-    are null or hold null or non-finite components take no part, nor do rows without an id; of rows that repeat an id the
-    smallest vector counts; a shorter vector counts as filled up with zeros.  Empty tables give no rows.
+    are null or hold null or non-finite components take no part, nor do rows without an id.  Each row is a query or a candidate
+    of its own, also if its id is repeated; a shorter vector counts as filled up with zeros.  Components and scores beyond a
+    long are its least or largest value.  Empty tables give no rows.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     x = F.col(embedding)
     fine = x.isNotNull() & F.col(vec_id).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    ints = stored(vectors.where(fine).select(F.col(vec_id).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v")))
-    rows, queries, dims, top = ints.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    if dims and top and float(top) ** 2 * dims >= _EXACT:
-        raise ValueError("components are too large for exact scores")
-    groups, blocks = max(1, -(-rows // GROUP)), max(1, -(-queries // QUERIES))
-    deal = F.xxhash64("id")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    found = ints.withColumn("g", F.pmod(deal, F.lit(groups)).cast("int")).withColumn("b", spread(blocks))
-    asked = ints.where(F.col("id") % every == 0).withColumn("b", F.pmod(deal, F.lit(blocks)).cast("int")).withColumn("g", spread(groups))
-
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if q.num_rows and c.num_rows:
-            index = ImpactIndex(c.column("id").to_numpy(), _matrix(c.column("v"), dims))
-            for own, v in zip(q.column("id").to_numpy(), _matrix(q.column("v"), dims), strict=True):
-                ids, score = index.search(v, own, k)
-                out.append((np.full(len(ids), own), ids, score))
-        cols = [np.concatenate([o[i] for o in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-    part = asked.groupBy("g", "b").cogroup(found.groupBy("g", "b")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    edge = float(2**63)
+    whole = F.transform(x, lambda c: F.floor(F.greatest(F.least(c.cast("double") * scale, F.lit(edge)), F.lit(-edge))))
+    ints = stored(vectors.where(fine).select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("id"), whole.alias("v")))
+    rows, dims = ints.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    group = group or min(max(rows // (4 * spark.sparkContext.defaultParallelism), LEAST_GROUP), MOST_GROUP)
+    groups = max(1, -(-rows // group))
+    found = ints.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).withColumn("asks", F.lit(0))
+    asked = ints.where(F.col("id") % every == 0).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("asks", F.lit(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = -1, [], None
+        for batch in batches:
+            g, asks = (np.asarray(batch.column(i)) for i in (0, 1))
+            cut = np.flatnonzero((np.diff(g) != 0) | (np.diff(asks) != 0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(g)], strict=True):
+                part = batch.slice(a, b - a)
+                if a == b:
+                    continue
+                row, ids, v = np.asarray(part.column(2)), np.asarray(part.column(3)), _matrix(part.column(4), dims)
+                if g[a] != now:
+                    now, held, index = g[a], [], None
+                if not asks[a]:
+                    held.append((row, ids, v))
+                    continue
+                if index is None and held:
+                    index = ImpactIndex(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                if index is not None:
+                    got = [(r, i, *index.search(q, r, k)[:2]) for r, i, q in zip(row, ids, v, strict=True)]
+                    n = [len(x[2]) for x in got]
+                    cols = [np.repeat(row, n), np.repeat(ids, n), np.concatenate([x[2] for x in got]).astype(np.int64), np.array([s for x in got for s in x[3]], np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "query_id", "vec_id", "score"])
+
+    names = ["g", "asks", "row", "id", "v"]
+    both = found.select(*names).unionByName(asked.select(*names)).repartition("g").sortWithinPartitions("g", "asks")
+    part = both.mapInArrow(lean(run), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same rows in DuckDB.
 ORACLE = """
-WITH v AS (SELECT vec_id, min([CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding]) AS x FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5
 """
