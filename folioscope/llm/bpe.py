@@ -27,9 +27,26 @@ from .shared import add_columns
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose encoding a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 1 << 18
-#: Characters of a piece of a long text, and bytes of a batch handed to the library.
+#: Bytes of a piece of a long text, and of a batch handed to the library.
 PIECE, BATCH = 1 << 16, 1 << 19
-_CUT = regex.compile(r"(?<=\S) ")
+#: Places where a pre-token always ends, whatever stands around them: before the one space after another character than white
+#: space, and between a letter, a digit and another character, save where an apostrophe may stand before letters.
+_SAFE = regex.compile(r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}\p{N}'])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=[^\s\p{L}\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+
+
+def checked(path: str) -> dict:
+    """The vocabulary file's contents; one that asks for more than byte-level BPE as it is done here is refused."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    odd += [k for k in ("byte_fallback", "ignore_merges", "fuse_unk") if model.get(k)]
+    odd += ["model.type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+    odd += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True))
+    odd += ["added_tokens"] * any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    if odd:
+        raise ValueError(f"{path}: not plain byte-level BPE: {', '.join(odd)}")
+    return spec | {"added_tokens": spec.get("added_tokens", [])}
 
 
 def byte_letters() -> list[str]:
@@ -65,7 +82,7 @@ class Vocabulary:
     """A byte-level BPE vocabulary in the ``tokenizers`` library's JSON form."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = checked(path)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         raw = lambda t: bytes(byte_of[c] for c in t)
         vocab = spec["model"]["vocab"]
@@ -189,7 +206,7 @@ class Decoder:
     """The bytes of all tokens end to end, and where each begins."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        spec = checked(path)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         of = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         of |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
@@ -206,18 +223,30 @@ class Decoder:
         return self.blob[index].tobytes()
 
 
-def pieces(text: str, size: int = PIECE) -> list[str]:
-    """``text`` cut before single spaces that follow a character other than white space, where no pre-token goes on."""
-    if len(text) <= size:
+def pieces(text: str, size: int = PIECE, whole: regex.Pattern | None = None) -> list[str]:
+    """``text`` cut at safe places into pieces of about ``size`` bytes; what ``whole`` finds isn't cut.
+
+    Without a safe place, as in a very long run of letters, a piece stays longer: the library's own rule takes such a run as one.
+    """
+    if len(text) * 4 <= size or len(text.encode("utf-8", "surrogatepass")) <= size:
         return [text]
-    out, at = [], 0
-    while len(text) - at > size:
-        m = _CUT.search(text, at + size)
-        if not m:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    return [*out, text[at:]]
+    held = [m.span() for m in whole.finditer(text)] if whole else []
+    out, at, used = [], 0, 0
+    while at < len(text):
+        # As many characters as have ``size`` bytes at most
+        step = len(text[at : at + size].encode("utf-8", "surrogatepass")[:size].decode("utf-8", "ignore")) or 1
+        end = at + step
+        while end < len(text):
+            m = _SAFE.search(text, end)
+            end = m.start() if m else len(text)
+            while used < len(held) and held[used][1] <= end:
+                used += 1
+            if used == len(held) or held[used][0] >= end:
+                break
+            end = held[used][1]  # inside a special token's string
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -237,7 +266,8 @@ def _library(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t
+    added = sorted((x["content"] for x in checked(path)["added_tokens"]), key=len, reverse=True)
+    return t, regex.compile("|".join(map(regex.escape, added))) if added else None
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
@@ -272,12 +302,12 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: s
 def count_tokens(docs: DataFrame, path: str, text: str = "text", count: str = "n_tokens") -> DataFrame:
     """Adds ``count``, the number of tokens the library makes of each whole text; null and empty texts have none.
 
-    Only lengths leave the library.  Each call gets about the same number of bytes, and texts beyond ``PIECE`` characters
-    are cut where no pre-token goes on (a special token's string has no space, so it isn't cut either).
+    Only lengths leave the library.  Each call gets about the same number of bytes, and texts beyond ``PIECE`` bytes
+    are cut where no pre-token goes on; special tokens' strings stay whole.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        t = _library(path)
+        t, special = _library(path)
         total = np.zeros(batch.num_rows, np.int64)
         held: list[str] = []
         owner: list[int] = []
@@ -290,11 +320,11 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", count: str = "n
                 owner.clear()
 
         for i, x in enumerate(batch.column(batch.schema.get_field_index(text))):
-            for p in pieces(x.as_py() or ""):
+            for p in pieces(x.as_py() or "", PIECE, special):
                 if p:
                     held.append(p)
                     owner.append(i)
-                    size += len(p)
+                    size += len(p.encode("utf-8", "surrogatepass"))
                 if size >= BATCH:
                     flush()
                     size = 0
