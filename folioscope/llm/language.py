@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from .shared import add_columns, bounded_batches, first_by_hash, fold, lean, stored
+from .shared import add_columns, bounded_batches, fold, lean, stored
 
 UNKNOWN = "und"
 #: Log probabilities that the common table has at most; beyond it each model is asked, which gives the same.
@@ -195,6 +195,11 @@ class Identifier:
             out[:, j] = -np.bincount(owner, weights=p, minlength=len(texts)) / np.maximum(n, 1)
         return n, out
 
+    def distance(self, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Standard errors by which each text is above its best language's own entropy."""
+        best = h.argmin(1)
+        return (h[np.arange(len(h)), best] - self.entropy[best]) * np.sqrt(np.maximum(n, 1)) / self.spread[best]
+
     def identify(self, texts: pa.Array) -> dict[str, list]:
         out: dict[str, list] = {"lang_pred": [], "score": [], "cross_entropy": [], "rejected": []}
         for _, held in _chunks(texts):
@@ -205,7 +210,7 @@ class Identifier:
             # The posterior of the best under equal priors, a text's letters counting as 20 independent ones at most
             weight = np.minimum(n, 20)[:, None]
             score = 1 / np.exp(-(h - low[:, None]) * weight).sum(1) if self.names else np.zeros(len(held))
-            far = (low - self.entropy[best]) * np.sqrt(np.maximum(n, 1)) / self.spread[best] > self.limit if self.names else np.zeros(len(held), bool)
+            far = self.distance(n, h) > self.limit if self.names else np.zeros(len(held), bool)
             out["lang_pred"] += [self.names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
             out["score"] += np.where(some, score, 0.0).tolist()
             out["cross_entropy"] += [x if s else None for x, s in zip(low.tolist(), some, strict=True)]
@@ -224,19 +229,23 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, Mo
     return {k: Model(gram[order[a:b]], n[order[a:b]]) for k, a, b in zip(names.dictionary.to_pylist(), at[:-1], at[1:], strict=True)}
 
 
-def calibrate(models: dict[str, Model], docs: DataFrame, share: float = 0.999, most: int = 2000, text: str = "text") -> Identifier:
-    """Sets the limit to the ``share`` quantile of the distance that texts of ``docs`` have from their best language.
+def calibrate(models: dict[str, Model], docs: DataFrame, share: float = 0.999, text: str = "text") -> Identifier:
+    """Sets the limit to the ``share`` quantile of the distance that the texts of ``docs`` have from their best language.
 
-    Of ``docs`` at most ``most`` rows, the first by a hash of their id, of 16 KB each at most, are looked at.
+    All texts are looked at whole; the quantile is Spark's approximate one.
     """
     out = Identifier(models)
-    ids = first_by_hash(docs.where(F.col("doc_id").isNotNull() & (F.octet_length(text) <= 1 << 14)).select("doc_id"), most, "doc_id")
-    texts = [r[0] for r in docs.join(F.broadcast(ids.distinct()), "doc_id").where(F.octet_length(text) <= 1 << 14).select(text).limit(2 * most).collect()]
-    if models and texts:
-        n, h = out.cross_entropies(texts)
-        best = h.argmin(1)
-        far = (h[np.arange(len(texts)), best] - out.entropy[best]) * np.sqrt(np.maximum(n, 1)) / out.spread[best]
-        out.limit = max(out.limit, float(np.quantile(far[n > 0], share))) if (n > 0).any() else out.limit
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, held in _chunks(batch.column(0)):
+                n, h = out.cross_entropies(held)
+                yield pa.RecordBatch.from_arrays([pa.array(out.distance(n, h)[n > 0])], names=["far"])
+
+    if models:
+        far = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(lean(run), "far double").agg(F.percentile_approx("far", share, 10_000)).first()[0]
+        out.limit = max(out.limit, far) if far is not None else out.limit
     return out
 
 
@@ -258,5 +267,5 @@ def language(docs: DataFrame, text: str = "text", lang: str = "lang", folds: int
     """``docs`` with the columns of ``identify_documents`` and held_out; learned where crc32(doc_id) mod ``folds`` isn't ``held``."""
     out = fold(F.col("doc_id"), folds) == held
     train = docs.where(~out)
-    identifier = calibrate(fit(train, lang, text), train.select("doc_id", text), text=text)
+    identifier = calibrate(fit(train, lang, text), train.where(F.col(lang).isNotNull()), text=text)
     return identify_documents(docs, identifier, text, keep_text).withColumn("held_out", out)
