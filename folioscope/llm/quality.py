@@ -192,15 +192,18 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
+def learn_from(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, text: str | None = None) -> list[Rule]:
     """Rules from rows of ``stats`` that ``labels`` marks 0 (bad) or 1; null labels and ids take no part.
 
     Of the labels ``sample`` ids at most, the first by a hash, are chosen and broadcast; their rows of numbers come to the
-    driver, twice as many at most where ids repeat.  Of several labels of one id the least counts.
+    driver, twice as many at most where ids repeat.  Of several labels of one id the least counts.  With ``text``, rows are
+    documents, and only the texts of chosen ids are counted.
     """
     marked = labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     chosen = first_by_hash(marked.groupBy("doc_id").agg(F.min("label").alias("label")), sample, "doc_id")
-    rows = stats.select("doc_id", *COUNTS).join(F.broadcast(chosen), "doc_id").limit(2 * sample).toPandas()
+    if text:
+        stats = text_statistics(stats.select("doc_id", text).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), text, False)
+    rows = stats.select("doc_id", *COUNTS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *COUNTS).limit(2 * sample).toPandas()
     # In the order of a hash, so that growing and pruning parts are alike whatever order ids stand in
     rows = rows.assign(h=[hashlib.md5(str(i).encode()).hexdigest() for i in rows["doc_id"]]).sort_values(["h", *COUNTS], kind="stable")  # noqa: S324
     counts = {c: rows[c].to_numpy(np.int64) for c in COUNTS}
@@ -217,6 +220,5 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", keep_text: boo
     stats = text_statistics(docs, text, keep_text)
     if not keep_text:
         stats = stored(stats)  # numbers only; counted once for learning and for the result
-    narrow = stats if not keep_text else text_statistics(docs.select("doc_id", text), text, False)
-    rules = learn_from(narrow, labels)
+    rules = learn_from(stats if not keep_text else docs, labels, text=text if keep_text else None)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))

@@ -154,7 +154,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, keep: object, label: str, v
         one = first_by_hash(one, each, "doc_id")
         chosen = one if chosen is None else chosen.unionByName(one)
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("label").alias("label"))), "doc_id")
-    got = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "label").limit(4 * each * len(values)).toPandas().sort_values(["doc_id", "text"])
+    got = rows.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text", "label").orderBy("doc_id", "text").limit(4 * each * len(values)).toPandas()
     return got["text"].tolist(), got["label"].to_numpy()
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version over a small corpus with nulls, odd texts, ties and repeated rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -111,16 +112,45 @@ def test_later_lines_match_brute_force(docs, none, rows, enough, split):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
-def test_repeats_are_equal_units_with_their_places(docs, none, rows):
-    text = {r[0]: r[1] for r in rows}
+def plain_units(text):
+    """(start, end, words) of the units of a text, by the rule in plain Python."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        found = [(m.start(), m.end(), re.sub("[A-Z]", lambda c: c[0].lower(), m[0])) for m in WORD.finditer(line)]
+        h = [int(B.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for _, _, w in found]
+        first = 0
+        for i in range(len(found)):
+            near = [h[j] for j in range(i - repeats.REACH, i + repeats.REACH + 1) if j != i and 0 <= j < len(h)]
+            if i == len(found) - 1 or (len(near) == 2 * repeats.REACH and h[i] < min(near)):
+                if i - first + 1 >= repeats.LEAST_WORDS:
+                    out.append((at + found[first][0], at + found[i][1], tuple(w for _, _, w in found[first : i + 1])))
+                first = i + 1
+        at += len(line) + 1
+    return out
+
+
+def test_repeats_are_all_but_the_earliest(docs, none, rows):
+    first, want = {}, Counter()
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for a, b, words in plain_units(r[1]):
+            if words in first:
+                want[(r[0], a, b, len(words), *first[words])] += 1
+            else:
+                first[words] = (r[0], a)
     got = repeats.repeats(docs).collect()
-    assert got
-    for r in got:
-        a, b = text[r.doc_id][r.start : r.end], text[r.kept_doc_id][r.kept_start :]
-        assert low(a) == low(b)[: r.n_words] and len(low(a)) == r.n_words
-    assert repeats.repeats(none).count() == 0
+    assert want and Counter(tuple(r) for r in got) == want
+    assert repeats.repeats(none).count() == 0 and repeats.without_repeats(none).count() == 0
     out = repeats.without_repeats(docs)
-    assert out.count() == len(rows) and set(docs.columns) < set(out.columns)
+    assert out.count() == len(rows) and out.columns == [*docs.columns, "removed"]
+    with pytest.raises(ValueError, match="another name"):
+        repeats.without_repeats(out)
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    some = lambda k: " ".join(f"{k}{i}" for i in range(8))
+    data = [("x", some("a"), 0), ("y", f"{some('b')}\n{some('a')}", 1), ("y", some("c"), 2), (None, f"{some('d')}\n{some('c')}", 3)]
+    out = {r.n: r.text for r in repeats.without_repeats(spark.createDataFrame(data, "doc_id string, text string, n int").repartition(2)).collect()}
+    assert out[0] == some("a") and out[1].strip() == some("b") and out[2] == some("c") and out[3].strip() == some("d")
 
 
 def test_a_passage_inside_other_lines_is_found(spark):
@@ -197,21 +227,49 @@ def test_kneser_ney_sums_to_one():
     assert abs(p - 1) < 1e-9
 
 
-def test_top_k_matches_brute_force(spark):
+def nearest(data, k=5):
+    """Brute force over rows (id, vector): sorted (query id, rank, id, score)."""
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x in data if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for r, (i, q) in enumerate(v):
+        if i % 50 == 0:
+            all_ = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, x)))), j) for s, (j, x) in enumerate(v) if s != r)  # noqa: B905
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(all_[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group", [None, 64])
+def test_top_k_matches_brute_force(spark, group):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[10] = x[60] = x[7]
-    data = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)] + [(400, None, 0), (401, [float("nan")] * 8, 0), (450, [None] * 8, 0)]
-    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>, rank int")).collect()
-    v = np.floor(256 * x.astype(float)).astype(int)
-    want = set()
-    for q in range(0, 300, 50):
-        order = sorted((i for i in range(300) if i != q), key=lambda i: (-(v[i] @ v[q]), i))[:5]
-        want |= {(q, k + 1, i, int(v[i] @ v[q])) for k, i in enumerate(order)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    data = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    data += [(400, None), (401, [float("nan")] * 8), (450, [None] * 8), (None, [1.0] * 8), (50, data[3][1]), (1, data[1][1]), (1, [9.0] * 8), (1, [9.0] * 8), (550, [1.5]), (600, [])]
+    got = topk.top_k(spark.createDataFrame([(*r, 0) for r in data], "vec_id long, embedding array<float>, rank int").repartition(3), group=group).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == nearest(data)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, [float(c) for c in rng.normal(size=6) * 10.0 ** (i % 9)]) for i in range(120)] + [(150, [1e8, -3e7, 2.0, 1.0, 0.0, 5e6]), (151, [1e8, -3e7, 2.0, 1.0, 0.0, 5e6])]
+    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), group=40).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == nearest(data)
+
+
+def test_the_index_stops_on_proof():
+    rng = np.random.default_rng(3)
+    v = (rng.normal(size=(3000, 32)) * rng.exponential(size=(3000, 1)) * 60).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(3000), np.arange(3000), v)
+    taken = []
+    for r in range(0, 3000, 300):
+        ids, score, n = index.search(v[r], r, 5)
+        want = sorted((-int(v[r] @ v[j]), j) for j in range(3000) if j != r)[:5]
+        assert [(-s, i) for s, i in zip(score, ids, strict=True)] == want
+        taken.append(n)
+    assert min(taken) < len(index.postings)
+
+
 def test_word_hashes_and_blocks():
     import pyarrow as pa
 
