@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; n_chars follows the text."""
-    out = line_dedup.without_later_lines(docs)
+    """Lines that match an earlier line go, and documents that have no words left by that; n_chars follows the text."""
+    out = line_dedup.without_later_lines(docs, drop_emptied=True)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
