@@ -5,7 +5,7 @@ number of its source's words up to and including it, divided by the source's tar
 ``times`` passes over its source.  All documents in order of finish time, cut where the total reaches the budget, are
 the mix, so that every source ends within about a document of its target.
 
-Nothing is ordered in one task.  Sums run first over ``buckets`` ranges of the shuffled order of each source, or over
+Nothing is ordered in one task.  Sums run first over ranges of the shuffled order of each source, more for more documents, or over
 ranges of finish time, then within a range, so a source that holds a third of all rows is spread over its ranges.
 Because the mix of a source is a beginning of its order, one row for each source says what is taken: texts never move.
 """
@@ -21,6 +21,8 @@ from .shared import stored
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a counted table is broadcast.
 SMALL = 20_000
+#: Buckets of each source's order, at least and at most, and about how many rows of the largest source one has.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET = 256, 1 << 20, 1 << 18
 #: Ranges of finish time in a unit of it.
 RANGES = 4096
 
@@ -65,15 +67,17 @@ def _order(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> d
     return {"k": _key(F.col(source)), "size": words(F.col(text)), "ordinal": hashed}
 
 
-def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", times: int = 3, buckets: int = 256, seed: str = "mix") -> tuple[DataFrame, DataFrame, int]:
+def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", times: int = 3, buckets: int | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame, int]:
     """(one row for each document, one row for each source, number of sources).
 
     Documents: doc_id, k, size, ordinal.  Sources: k, source_size, target and the last place taken (turn, ordinal, size), null
     where nothing is taken.  Rows that agree in id, source and size are taken alike, all or none in a turn.
     """
+    base = stored(docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in _order(docs, doc_id, text, source, seed).items()]))
+    buckets = buckets or min(max(LEAST_BUCKETS, base.count() // BUCKET), MOST_BUCKETS)
     # The hash's first 24 bits deal a source's order out to its buckets.
     bucket = F.floor(F.conv(F.substring("ordinal", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int")
-    base = stored(docs.select(F.col(doc_id).alias("doc_id"), *[c.alias(n) for n, c in _order(docs, doc_id, text, source, seed).items()]).withColumn("bucket", bucket))
+    base = base.withColumn("bucket", bucket)
     sums = stored(base.groupBy("k", "bucket").agg(F.sum("size").alias("words")))
     targets = stored(source_targets(sums.groupBy("k").agg(F.sum("words").alias("source_size")), times))
     n, budget = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
