@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import financial
-from ..functions.sequences import amount_pairs, line_diff, similarity, similarity_bound
+from ..functions.sequences import amount_pairs, line_diff, similarity
 from ..functions.text import squeeze
 from ..storage import stored
 from .match import greedy, in_order, match_nodes
@@ -31,7 +31,7 @@ def _change(kind: str, order: Column | None = None, diff: Column | None = None)
         (F.col("body_text_old") if old else none.cast("string")).alias("old_text"), (F.col("body_text_new") if new else none.cast("string")).alias("new_text"),
         (none.cast("array<string>") if diff is None else diff).alias("text_diff"), F.coalesce(number, F.lit("")).alias("section_number"),
         (F.coalesce("element_id_old", F.lit("")) if old else F.lit("")).alias("element_id_old"), (F.coalesce("element_id_new", F.lit("")) if new else F.lit("")).alias("element_id_new"),
-        (F.col("out_ord").cast("double") if order is None else order).alias("out_ord"),
+        (F.col("out_ord") if order is None else order).cast("double").alias("out_ord"),
     ]
 
 
@@ -39,49 +39,52 @@ def classify(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes of each pair of versions: added, removed, unchanged, modified; a pair under ``SPLIT`` alike is two changes."""
     both = stored(_sides(in_order(match_nodes(old, new)), old, new))
     a, b = squeeze(F.coalesce("body_text_old", F.lit(""))), squeeze(F.coalesce("body_text_new", F.lit("")))
-    paired = both.where("oi IS NOT NULL AND ni IS NOT NULL")
-    differ = stored(paired.where(a != b).withColumn("sim", similarity("body_text_old", "body_text_new")))
-    apart, edited = differ.where(F.col("sim") < SPLIT), differ.where(F.col("sim") >= SPLIT)
-    parts = [
-        both.where("oi IS NULL").select(*_change("added")),
-        both.where("ni IS NULL").select(*_change("removed")),
-        paired.where(a == b).select(*_change("unchanged")),
-        apart.select(*_change("removed")),
-        apart.select(*_change("added", F.col("out_ord") + 0.5)),
-        edited.select(*_change("modified", diff=line_diff(F.col("body_text_old"), F.col("body_text_new")))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    paired = F.col("oi").isNotNull() & F.col("ni").isNotNull()
+    # Only texts that differ are compared, so they go by a branch of their own.
+    differ = both.where(paired & (a != b)).withColumn("sim", similarity("body_text_old", "body_text_new"))
+    one = lambda kind, **more: F.struct(*_change(kind, **more))
+    edited = one("modified", diff=line_diff(F.col("body_text_old"), F.col("body_text_new")))
+    split = F.when(F.col("sim") < SPLIT, F.array(one("removed"), one("added", order=F.col("out_ord") + 0.5))).otherwise(F.array(edited))
+    alone = F.when(F.col("oi").isNull(), one("added")).when(F.col("ni").isNull(), one("removed")).otherwise(one("unchanged"))
+    return both.where(~paired | (a == b)).select(alone.alias("c")).select("c.*").unionByName(differ.select(F.inline(split)))
 
 
 def move_candidates(gone: DataFrame, come: DataFrame, least: float = MOVE) -> DataFrame:
     """Scored pairs of removed (pair_id, oi, a) and added (pair_id, ni, b) that are ``least`` alike or more.
 
-    An equi-join on shared words rules out pairs before the slow comparison: ``least`` of 2 * overlap / (n + m) needs a
-    common word among the first n - ceil(n * least / (2 - least)) + 1 of a text's distinct words in hash order (with
-    repeats counted by the whole text's length), so pairs without one are never made.
+    Texts are bags of words; a word's copies are distinct tokens, so the overlap of bags is that of sets.  With a text's n tokens
+    in order of rarity in its pair of versions, ``least`` of 2 * overlap / (n + m) needs a common one among the first
+    n - ceil(n * least / (2 - least)) + 1, so an equi-join on these makes all pairs; then whole overlaps, which bound the
+    similarity, rule out most before the slow comparison.
     """
     from ..functions.text import words
 
-    def prefix(d: DataFrame, i: str, t: str) -> DataFrame:
-        # Texts are bags; copies of a word become distinct tokens, so overlap of bags is overlap of sets.
-        w = d.select("pair_id", i, t, F.posexplode(words(F.col(t))).alias("at", "w"), F.size(words(F.col(t))).alias("n"))
-        w = w.withColumn("copy", F.row_number().over(Window.partitionBy("pair_id", i, "w").orderBy("at"))).withColumn("h", F.xxhash64("w", "copy"))
-        w = w.withColumn("r", F.row_number().over(Window.partitionBy("pair_id", i).orderBy("h")))
-        need = F.ceil(F.col("n") * least / (2 - least))
-        return w.where(F.col("r") <= F.col("n") - need + 1).select("pair_id", i, "h")
+    def tokens(d: DataFrame, i: str, t: str) -> DataFrame:
+        w = d.select("pair_id", F.col(i).cast("double").alias("i"), F.posexplode(words(F.col(t))).alias("at", "w"), F.size(words(F.col(t))).alias("n"))
+        w = w.withColumn("copy", F.row_number().over(Window.partitionBy("pair_id", "i", "w").orderBy("at")))
+        return stored(w.select("pair_id", "i", "n", F.xxhash64("w", "copy").alias("h")))
+
+    sides = [tokens(gone, "oi", "a"), tokens(come, "ni", "b")]
+    rare = sides[0].unionByName(sides[1]).groupBy("pair_id", "h").agg(F.count("*").alias("df"))
+    need = F.ceil(F.col("n") * least / (2 - least))
+
+    def prefix(w: DataFrame, i: str) -> DataFrame:
+        w = w.join(rare, ["pair_id", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("pair_id", "i").orderBy("df", "h")))
+        return w.where(F.col("r") <= F.col("n") - need + 1).select("pair_id", F.col("i").alias(i), "h")
+
+    bags = [w.groupBy("pair_id", F.col("i").alias(i)).agg(F.collect_list("h").alias(t)) for w, i, t in zip(sides, ("oi", "ni"), ("ta", "tb"), strict=True)]
+    gone, come = gone.withColumn("oi", F.col("oi").cast("double")), come.withColumn("ni", F.col("ni").cast("double"))
 
     def empty(d: DataFrame, i: str, t: str) -> DataFrame:
         """Texts without words are alike, and claimed from the last on: only pairs of one rank can be taken."""
         last = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc(i)))
         return d.where(F.size(words(F.coalesce(F.col(t), F.lit("")))) == 0).select("pair_id", i, last.alias("rank"))
 
-    pairs = prefix(gone, "oi", "a").join(prefix(come, "ni", "b"), ["pair_id", "h"]).select("pair_id", "oi", "ni").distinct()
+    pairs = prefix(sides[0], "oi").join(prefix(sides[1], "ni"), ["pair_id", "h"]).select("pair_id", "oi", "ni").distinct()
+    pairs = pairs.join(bags[0], ["pair_id", "oi"]).join(bags[1], ["pair_id", "ni"])
+    pairs = pairs.where(2.0 * F.size(F.array_intersect("ta", "tb")) / (F.size("ta") + F.size("tb")) >= least).select("pair_id", "oi", "ni")
     pairs = pairs.unionByName(empty(gone, "oi", "a").join(empty(come, "ni", "b"), ["pair_id", "rank"]).select("pair_id", "oi", "ni"))
     both = pairs.join(gone, ["pair_id", "oi"]).join(come, ["pair_id", "ni"])
-    both = both.where(similarity_bound(F.col("a"), F.col("b")) >= least)
     return both.withColumn("sim", similarity("a", "b")).where(F.col("sim") >= least).select("pair_id", "oi", "ni", "sim")
 
 
@@ -108,7 +111,7 @@ def reconcile_moves(changes: DataFrame, least: float = MOVE) -> DataFrame:
 
 def diff_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes of each pair of versions, moves reconciled, with the financial struct."""
-    out = stored(reconcile_moves(classify(old, new)))
+    out = reconcile_moves(classify(old, new))
     return out.withColumn("financial", financial(F.col("old_text"), F.col("new_text"), amount_pairs(F.col("old_text"), F.col("new_text"))))
 
 

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.sequences import similarity
+from ..functions.sequences import ratio
 from ..functions.text import division_title
-from ..storage import nullable, stored
+from ..storage import nullable
 
 KEY = ["pair_id", "match_path"]
 
@@ -50,62 +52,100 @@ def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.repartition(*keys).sortWithinPartitions(*keys, F.desc("sim"), F.desc("oi"), F.desc("ni")).mapInArrow(run, nullable(pairs.schema))
 
 
-def _scored(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
-    """All pairs within a key, scored; a key with one node on either side is paired without a score."""
-    sizes = old.groupBy(*on).agg(F.count("*").alias("no")).join(new.groupBy(*on).agg(F.count("*").alias("nn")), on)
-    both = old.select(*on, F.col("at").alias("oi"), F.col("body_text").alias("a")).join(new.select(*on, F.col("at").alias("ni"), F.col("body_text").alias("b")), on).join(sizes, on)
-    # A UDF inside CASE runs for every row, so the branches are filtered apart.
-    sure = both.where("no = 1 AND nn = 1").select(*on, "oi", "ni", F.lit(1.0).alias("sim"))
-    return sure.unionByName(both.where("no > 1 OR nn > 1").withColumn("sim", similarity("a", "b")).select(*on, "oi", "ni", "sim"))
+Node = tuple[int, str, str]  # place, division title, text
+Match = tuple[int | None, int | None, int]  # places of both sides, stage
 
 
-def _placed(old: DataFrame, new: DataFrame) -> list[DataFrame]:
-    """Both sides' nodes of repeated paths with their division's rank, old divisions by first appearance and then new ones, and their place ``at`` by it."""
-    on = [*KEY, "title"]
-    first = old.groupBy(*on).agg(F.min("ord").alias("fo")).join(new.groupBy(*on).agg(F.min("ord").alias("fn")), on, "full_outer")
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("fo").isNull(), F.coalesce("fo", "fn")))
-    first = stored(first.select(*on, rank.alias("division")))
-    return [stored(d.join(first, on).withColumn("at", F.row_number().over(Window.partitionBy(*KEY).orderBy("division", "ord")))) for d in (old, new)]
+def _claimed(olds: list[Node], news: list[Node]) -> list[tuple[int, int]]:
+    """Indices of nodes paired one to one: two lone ones as they are, else the most alike first, equal ones by the later old, then new."""
+    if len(olds) == len(news) == 1:
+        return [(0, 0)]
+    scored = sorted(((ratio(o[2], n[2]), i, j) for i, o in enumerate(olds) for j, n in enumerate(news)), reverse=True)
+    out, used = [], set()
+    for _, i, j in scored:
+        if ("o", i) not in used and ("n", j) not in used:
+            used |= {("o", i), ("n", j)}
+            out.append((i, j))
+    return out
+
+
+def resolve(olds: list[Node], news: list[Node]) -> list[Match]:
+    """The nodes of one path, paired, in the order of their matches.
+
+    stage 0: at most one on each side; 1: paired within a division title, titles by first appearance, old ones first; 2: what
+    is left, paired across titles; 3 and 4: old and new nodes without a partner.
+    """
+    if len(olds) <= 1 and len(news) <= 1:
+        return [(olds[0][0] if olds else None, news[0][0] if news else None, 0)]
+    titles = dict.fromkeys(n[1] for n in [*olds, *news])
+    out: list[Match] = []
+    left: tuple[list[Node], list[Node]] = ([], [])
+    for title in titles:
+        parts = [[n for n in side if n[1] == title] for side in (olds, news)]
+        pairs = _claimed(*parts) if all(parts) else []
+        out += [(parts[0][i][0], parts[1][j][0], 1) for i, j in pairs]
+        for k, part in enumerate(parts):
+            taken = {p[k] for p in pairs}
+            left[k].extend(n for i, n in enumerate(part) if i not in taken)
+    pairs = _claimed(*left) if all(left) else []
+    out += [(left[0][i][0], left[1][j][0], 2) for i, j in pairs]
+    out += [(n[0], None, 3) for i, n in enumerate(left[0]) if i not in {p[0] for p in pairs}]
+    return out + [(None, n[0], 4) for j, n in enumerate(left[1]) if j not in {p[1] for p in pairs}]
 
 
 def match_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows (pair_id, match_path, oi, ni, stage, place): places of matched nodes, null where a side has none.
+    """Rows (pair_id, match_path, oi, ni, stage, place, first_old, first_new): places of matched nodes, null where a side has none.
 
-    stage 0: the path occurs at most once on each side; 1: paired within a division title; 2: across titles; 3 and 4: old
-    and new nodes left over.  ``place`` is the row's within its path: pairs by division and then in the order they are claimed,
-    those across divisions as claimed, then what is left.  The cost of stages 1 and 2 is the square of how often a path repeats
-    within a version.
+    ``stage`` is as in ``resolve``, ``place`` the row's within its path, and the last two are the path's first places.  Both
+    versions are dealt out by path once; texts go along only where a path repeats within a version, and the cost of such a path is
+    the square of how often it does.
     """
-    count = lambda d, n: d.groupBy(*KEY).agg(F.count("*").alias(n))
-    sizes = count(old, "no").join(count(new, "nn"), KEY, "full_outer").na.fill(0, ["no", "nn"])
-    repeated = stored(sizes.where("no > 1 OR nn > 1").select(*KEY))
-    plain_old, plain_new = (d.join(repeated, KEY, "left_anti").select(*KEY, F.col("ord").alias(c)) for d, c in ((old, "oi"), (new, "ni")))
-    out = plain_old.join(plain_new, KEY, "full_outer").select(*KEY, "oi", "ni", F.lit(0).alias("stage"), F.lit(1).alias("place"))
-    titled = [d.join(repeated, KEY, "left_semi").select(*KEY, "ord", "body_text", division_title(F.coalesce("division_label", F.lit(""))).alias("title")) for d in (old, new)]
-    both = rest = _placed(*titled)
-    parts = []
-    for stage, on in ((1, [*KEY, "title"]), (2, KEY)):
-        found = stored(greedy(_scored(*rest, on), on).select(*KEY, "oi", "ni", F.lit(stage).alias("stage"), "sim"))
-        parts.append(found)
-        rest = [stored(d.join(found.select(*KEY, F.col(c).alias("at")), [*KEY, "at"], "left_anti")) for d, c in zip(rest, ("oi", "ni"), strict=True)]
-    none = F.lit(None).cast("int")
-    parts.append(rest[0].select(*KEY, F.col("at").alias("oi"), none.alias("ni"), F.lit(3).alias("stage"), F.lit(0.0).alias("sim")))
-    parts.append(rest[1].select(*KEY, none.alias("oi"), F.col("at").alias("ni"), F.lit(4).alias("stage"), F.lit(0.0).alias("sim")))
-    hard = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    for d, c, x in ((both[0], "oi", "o"), (both[1], "ni", "n")):
-        hard = hard.join(d.select(*KEY, F.col("at").alias(c), F.col("ord").alias(x), F.col("division").alias(f"division_{x}")), [*KEY, c], "left")
-    claimed = F.col("stage") <= 2
-    order = [F.col("stage"), F.when(F.col("stage") == 1, F.col("division_o")), F.desc("sim"), F.when(claimed, -F.col("oi")).otherwise(F.coalesce("oi", "ni")), F.desc("ni")]
-    hard = hard.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
-    return out.unionByName(hard.select(*KEY, F.col("o").alias("oi"), F.col("n").alias("ni"), "stage", "place"))
+    def side(d: DataFrame, i: int) -> DataFrame:
+        return d.select(*KEY, F.lit(i).alias("side"), F.col("ord").cast("int").alias("ord"), division_title(F.coalesce("division_label", F.lit(""))).alias("title"), "body_text")
+
+    key = Window.partitionBy(*KEY)
+    crowded = F.greatest(F.count_if(F.col("side") == 0).over(key), F.count_if(F.col("side") == 1).over(key)) > 1
+    rows = side(old, 0).unionByName(side(new, 1)).withColumn("crowded", crowded)
+    rows = rows.select(*KEY, "side", "ord", F.when(F.col("crowded"), F.col("title")).alias("title"), F.when(F.col("crowded"), F.coalesce("body_text", F.lit(""))).alias("body")).sortWithinPartitions(*KEY, "side", "ord")
+    schema = nullable(StructType([*rows.select(*KEY).schema.fields, *[StructField(c, IntegerType()) for c in ("oi", "ni", "stage", "place", "first_old", "first_new")]]))
+    kinds = [rows.schema[c].dataType for c in KEY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = [to_arrow_type(k) for k in kinds]
+        names = [f.name for f in schema.fields]
+        out: list[tuple] = []
+        now, sides = None, ([], [])
+
+        def done() -> None:
+            first = [s[0][0] if s else None for s in sides]
+            out.extend((*now, oi, ni, stage, i, *first) for i, (oi, ni, stage) in enumerate(resolve(*sides), 1))
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*arrow, *[pa.int32()] * 6], strict=True)], names=names)
+
+        for batch in batches:
+            for pair, path, s, place, title, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now is None or now != (pair, path):
+                    if now is not None:
+                        done()
+                    now, sides = (pair, path), ([], [])
+                sides[s].append((place, title, text))
+            if len(out) > 10_000:
+                yield batch_of()
+                out = []
+        if now is not None:
+            done()
+        if out:
+            yield batch_of()
+
+    return rows.mapInArrow(run, schema)
 
 
 def in_order(matched: DataFrame) -> DataFrame:
     """Adds out_ord: keys of the old version by first appearance, then new ones; within a key by place."""
-    key = Window.partitionBy(*KEY)
-    m = matched.withColumn("fo", F.min("oi").over(key)).withColumn("fn", F.min("ni").over(key))
-    order = Window.partitionBy("pair_id").orderBy(F.col("fo").isNull(), F.coalesce("fo", "fn"), "place")
-    return m.withColumn("out_ord", F.row_number().over(order)).drop("fo", "fn", "place")
+    order = Window.partitionBy("pair_id").orderBy(F.col("first_old").isNull(), F.coalesce("first_old", "first_new"), "place")
+    return matched.withColumn("out_ord", F.row_number().over(order)).drop("first_old", "first_new", "place")
 
 
 def cross_division_mismatches(changes: DataFrame) -> DataFrame:
