@@ -3,22 +3,18 @@
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
+import brute
 import duckdb
 import numpy as np
 import pytest
+from brute import low
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, language, line_dedup, mixing, quality, repeats, shingle_join, topk, toxicity
 from folioscope.llm import bytehash as B
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def low(t):
-    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-
 
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -67,29 +63,7 @@ def test_mix_matches_sql(docs, none, rows):
 
 
 def test_components_match_brute_force(docs, none, rows):
-    sets = []
-    for r in rows:
-        w = low(r[1])
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    n_links = [0] * len(rows)
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
-                parent[find(i)] = find(j)
-                n_links[i] += 1
-                n_links[j] += 1
-    least = defaultdict(list)
-    for i, r in enumerate(rows):
-        if r[0] is not None:
-            least[find(i)].append(r[0])
-    want = Counter((r[0], len(sets[i]), min(least[find(i)], default=None) if sets[i] else r[0], n_links[i]) for i, r in enumerate(rows))
+    want = brute.links([r[:2] for r in rows])
     assert Counter(tuple(r) for r in shingle_join.link_documents(docs).collect()) == want
     assert shingle_join.link_documents(none).count() == 0
     kept = shingle_join.one_of_each(docs)
@@ -112,31 +86,8 @@ def test_later_lines_match_brute_force(docs, none, rows, enough, split):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
-def plain_units(text):
-    """(start, end, words) of the units of a text, by the rule in plain Python."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        found = [(m.start(), m.end(), re.sub("[A-Z]", lambda c: c[0].lower(), m[0])) for m in WORD.finditer(line)]
-        h = [int(B.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for _, _, w in found]
-        first = 0
-        for i in range(len(found)):
-            near = [h[j] for j in range(i - repeats.REACH, i + repeats.REACH + 1) if j != i and 0 <= j < len(h)]
-            if i == len(found) - 1 or (len(near) == 2 * repeats.REACH and h[i] < min(near)):
-                if i - first + 1 >= repeats.LEAST_WORDS:
-                    out.append((at + found[first][0], at + found[i][1], tuple(w for _, _, w in found[first : i + 1])))
-                first = i + 1
-        at += len(line) + 1
-    return out
-
-
 def test_repeats_are_all_but_the_earliest(docs, none, rows):
-    first, want = {}, Counter()
-    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for a, b, words in plain_units(r[1]):
-            if words in first:
-                want[(r[0], a, b, len(words), *first[words])] += 1
-            else:
-                first[words] = (r[0], a)
+    want = brute.repeated([r[:2] for r in rows])
     got = repeats.repeats(docs).collect()
     assert want and Counter(tuple(r) for r in got) == want
     assert repeats.repeats(none).count() == 0 and repeats.without_repeats(none).count() == 0
@@ -166,13 +117,7 @@ def test_a_passage_inside_other_lines_is_found(spark):
 
 def test_counts_match_brute_force(docs, rows):
     for r in quality.text_statistics(docs).collect():
-        t = r.text or ""
-        w = WORD.findall(t)
-        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        again = {k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(again))
-        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.counts(r.text)
 
 
 def test_rules_are_learned(spark, docs, none):
