@@ -10,6 +10,7 @@ it is the one that merging by rank makes.  Decoding looks up each id's bytes by
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import accumulate
 
@@ -25,8 +26,8 @@ from .shared import add_columns
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose encoding a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 1 << 18
+#: Pre-tokens whose encoding a worker remembers, and pairs it has compared; either memory starts anew when it is full.
+REMEMBERED = 1 << 17
 #: Bytes of a piece of a long text, and of a batch handed to the library.
 PIECE, BATCH = 1 << 16, 1 << 19
 #: Places where a pre-token always ends, whatever stands around them: before the one space after another character than white
@@ -122,7 +123,7 @@ class Vocabulary:
         key = a << 32 | b
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 1 << 18:
+            if len(self.compatible) >= REMEMBERED:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(a, b, len(self.rank))
         return known
@@ -270,19 +271,27 @@ def _library(path: str):
     return t, regex.compile("|".join(map(regex.escape, added))) if added else None
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
-    """Adds ``ids`` (binary: little-endian unsigned 32-bit ids) and ``count``.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """Adds ``ids`` (binary: little-endian unsigned 32-bit ids) and ``count``, and if named ``decoded``, the text decoded from the ids.
 
     A null or empty text has no ids.  Columns named like an added one are replaced.  ``path`` is the vocabulary file, which
-    every executor must be able to read; ids are those of the library with its special tokens' strings recognised.
+    every executor must be able to read; ids are those of the library with its special tokens' strings recognised.  Decoding in
+    the same pass spares workers of its own.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         v = vocabulary(path)
         out = [v.encode(t) if (t := x.as_py()) else b"" for x in batch.column(batch.schema.get_field_index(text))]
-        return {ids: pa.array(out, pa.binary()), count: pa.array([len(x) // 4 for x in out], pa.int64())}
+        new = {ids: pa.array(out, pa.binary()), count: pa.array([len(x) // 4 for x in out], pa.int64())}
+        return new | ({decoded: _texts(path, out)} if decoded else {})
 
-    return add_columns(docs, run, [StructField(ids, BinaryType()), StructField(count, LongType())], () if keep_text else (text,))
+    added = [StructField(ids, BinaryType()), StructField(count, LongType()), *([StructField(decoded, StringType())] if decoded else [])]
+    return add_columns(docs, run, added, () if keep_text else (text,))
+
+
+def _texts(path: str, coded: Iterable[bytes]) -> pa.Array:
+    d = decoder(path)
+    return pa.array([d.decode(np.frombuffer(x, "<u4").astype(np.int64)).decode("utf-8", "replace") for x in coded], pa.string())
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -292,9 +301,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: s
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        v = decoder(path)
-        raw = (x.as_py() or b"" for x in batch.column(batch.schema.get_field_index(ids)))
-        return {text: pa.array([v.decode(np.frombuffer(x, "<u4").astype(np.int64)).decode("utf-8", "replace") for x in raw], pa.string())}
+        return {text: _texts(path, (x.as_py() or b"" for x in batch.column(batch.schema.get_field_index(ids))))}
 
     return add_columns(docs, run, [StructField(text, StringType())])
 

@@ -19,8 +19,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    coded = bpe.encode_documents(documents(spark, sf_dir, "doc_id", "text"), path, keep_text=False)
-    return bpe.decode_documents(coded, path).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode_documents(documents(spark, sf_dir, "doc_id", "text"), path, keep_text=False, decoded="decoded")
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
