@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    path = vocabulary_path()
-    coded = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    coded = bpe.encode_documents(docs, vocabulary_path(), decoded="decoded")
     return coded.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 
 
