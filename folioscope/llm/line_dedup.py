@@ -38,7 +38,7 @@ SLOTS, PAGE = 1 << 20, 4096
 SPLIT, LINES_SENT, CHUNK = 1 << 19, 100_000, 400_000
 #: Earlier partners that pass the filters, or that are clearly near, after which a line looks for no more in a list, unless
 #: none of them holds; and how many a line with clearly near ones offers from each bucket.
-ENOUGH, ENOUGH_NEAR, OFFERED, FULL = 256, 4, 1, 1 << 30
+ENOUGH, ENOUGH_NEAR, OFFERED, FULL = 64, 4, 1, 1 << 30
 #: Documents up to which those that hold candidates are broadcast to filter the texts that are read again.
 FEW = 200_000
 #: Lines looked at together, at most 2**16: a sort key has 16 bits for the line, 8 for rarity and 40 of the word's hash.

@@ -70,7 +70,7 @@ def test_components_match_brute_force(docs, none, rows):
     assert kept.columns == docs.columns and kept.count() == len({(k[2] if k[1] else k[0]) for k in want})
 
 
-@pytest.mark.parametrize("enough,split", [(256, 1 << 20), (1, 40)])
+@pytest.mark.parametrize("enough,split", [(64, 1 << 20), (1, 40)])
 def test_later_lines_match_brute_force(docs, none, rows, enough, split):
     lines = []
     for i, r in enumerate(rows):  # the row that repeats an id repeats its text too
