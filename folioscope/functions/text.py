@@ -170,6 +170,16 @@ def dollars(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(x, 0))
 
 
+def viewer_dollars(x: Column) -> Column:
+    """As the viewer prints amounts: the sign stands behind the dollar sign."""
+    return F.concat(F.lit("$"), F.when(x < 0, "-").otherwise(""), F.format_number(F.abs(x), 0))
+
+
+def known_type(code: Column) -> Column:
+    """Whether a bill type is one of the eight."""
+    return F.coalesce(code.isin(list(BILL_TYPES)), F.lit(False))
+
+
 def delta(x: Column) -> Column:
     return F.concat(F.when(x < 0, "-").otherwise("+"), dollars(F.abs(x)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import financial
+from ..functions.amounts import amounts, financial
 from ..functions.sequences import amount_pairs, line_diff, similarity
 from ..functions.text import squeeze
 from ..storage import stored
@@ -125,3 +125,28 @@ def filter_changes(changes: DataFrame, include_unchanged: bool = False, path: st
 def summary(changes: DataFrame) -> DataFrame:
     """Per pair a count of each kind, zero where there is none."""
     return changes.groupBy("pair_id").agg(*[F.count_if(F.col("change_type") == k).alias(k) for k in KINDS])
+
+
+def unsure(changes: DataFrame, least: float = SPLIT, most: float = MOVE) -> DataFrame:
+    """Modified changes whose texts are at least ``least`` and less than ``most`` alike: kept as pairs, though a move would need more."""
+    return changes.where("change_type = 'modified'").withColumn("sim", similarity("old_text", "new_text")).where((F.col("sim") >= least) & (F.col("sim") < most))
+
+
+def broken(changes: DataFrame) -> DataFrame:
+    """Rows (pair_id, rule, n) of rules that changes must keep: no pair less alike than its kind asks for, no two with the same nodes."""
+    pairs = changes.where("change_type IN ('modified', 'moved')").withColumn("sim", similarity("old_text", "new_text"))
+    low = pairs.where(F.col("sim") < F.when(F.col("change_type") == "moved", MOVE).otherwise(SPLIT)).select("pair_id", F.concat(F.col("change_type"), F.lit(" but unlike")).alias("rule"))
+    same = changes.groupBy("pair_id", "element_id_old", "element_id_new").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("pair_id", F.lit("same nodes").alias("rule"))
+    return low.unionByName(same).groupBy("pair_id", "rule").agg(F.count("*").alias("n"))
+
+
+def curated(expected: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of (pair_id, match_path, amount): with ``ord``, the first node of the path, and ``found``, whether its text holds the amount."""
+    first = nodes.groupBy("pair_id", "match_path").agg(F.min_by(F.struct("ord", "body_text"), "ord").alias("n"))
+    rows = expected.join(first, ["pair_id", "match_path"], "left")
+    return rows.select(*expected.columns, F.col("n.ord").alias("ord"), F.coalesce(F.array_contains(amounts(F.col("n.body_text")), F.col("amount")), F.lit(False)).alias("found"))
+
+
+def by_division(nodes: DataFrame) -> DataFrame:
+    """Nodes of each version by division."""
+    return nodes.groupBy("pair_id", "division_label").agg(F.count("*").alias("nodes"))

@@ -15,7 +15,7 @@ from ..sources import bill_xml
 from ..storage import stored
 from . import bills, contract, printed
 from . import canonical as C
-from .fixture import CHANGES, MATCHED, WITH, nodes, rows
+from .fixture import CHANGES, MATCHED, WITH, alike, nodes, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,6 +574,69 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select("name").subtract(nation.join(poor, "n_nationkey").select("name")).unionAll(read(spark, sf_dir, "region").select(F.col("r_name").alias("name")).intersect(asia))
 
 
+@query(CHANGES + f" SELECT pair_id, count(*) AS n, round(min(sim), 9) AS least FROM (SELECT pair_id, {alike('a', 'b')} AS sim FROM changes WHERE kind = 'modified') WHERE sim >= 0.4 AND sim < 0.9 GROUP BY 1")
+def unsure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.unsure(bill_diff(spark, sf_dir), most=0.9).groupBy("pair_id").agg(F.count("*").alias("n"), F.round(F.min("sim"), 9).alias("least"))
+
+
+@query(CHANGES + f"""
+SELECT pair_id, kind || ' but unlike' AS rule, count(*) AS n FROM changes WHERE kind = 'modified' AND {alike('a', 'b')} < 0.4 OR kind = 'moved' AND {alike('a', 'b')} < 0.6 GROUP BY ALL
+UNION ALL SELECT pair_id, 'same nodes', count(*) FROM (SELECT pair_id, ok, nk FROM changes GROUP BY ALL HAVING count(*) > 1) GROUP BY 1""")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty where all changes keep the rules."""
+    return classify.broken(bill_diff(spark, sf_dir))
+
+
+@query(MATCHED + " SELECT m.pair_id, count(*) FILTER (WHERE x.division <> y.division AND right(x.division, 7) <> right(y.division, 7)) AS mismatches FROM matched m JOIN old x ON m.o = x.k JOIN new y ON m.n = y.k GROUP BY 1")
+def cross_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = nodes(spark, sf_dir, "old"), nodes(spark, sf_dir, "new")
+    m = match.match_nodes(old, new).where("oi IS NOT NULL AND ni IS NOT NULL")
+    side = lambda d, c, s: d.select("pair_id", F.col("ord").alias(c), F.col("display_path").alias(f"display_path_{s}"))
+    return match.cross_division_mismatches(m.join(side(old, "oi", "old"), ["pair_id", "oi"]).join(side(new, "ni", "new"), ["pair_id", "ni"]))
+
+
+@query(WITH + """
+, n AS (SELECT *, CASE WHEN leaf LIKE 'dup%' THEN leaf ELSE top || '/' || leaf END AS path FROM new), f AS (SELECT pair_id, path, arg_min(k, k) AS k, arg_min(CASE WHEN nullif(CASE WHEN k % 7 = 0 THEN 0 ELSE amount + CASE WHEN k % 3 = 0 THEN 1000 ELSE 0 END END, 0) IS NULL THEN -1 ELSE amount + CASE WHEN k % 3 = 0 THEN 1000 ELSE 0 END END, k) AS has FROM n GROUP BY ALL)
+SELECT o.k, CAST(f.k AS INTEGER) AS ord, coalesce(has = o.amount, false) AS found FROM (SELECT *, CASE WHEN leaf LIKE 'dup%' THEN leaf ELSE top || '/' || leaf END AS path FROM old) o LEFT JOIN f USING (pair_id, path)""")
+def curated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the old amounts still stand in the first new node of their path."""
+    path = F.when(F.col("leaf").startswith("dup"), F.array("leaf")).otherwise(F.array("top", "leaf"))
+    expected = rows(spark, sf_dir, "old").select("k", "pair_id", path.alias("match_path"), "amount")
+    return classify.curated(expected, nodes(spark, sf_dir, "new")).select("k", "ord", "found")
+
+
+@query(WITH + " SELECT pair_id, division AS division_label, count(*) AS nodes FROM new GROUP BY ALL")
+def division_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.by_division(nodes(spark, sf_dir, "new"))
+
+
+@query("""
+SELECT 'bills/118-hr-' || CAST(floor(o_orderkey / 320) AS BIGINT) || '/1_reported-in-house.xml' AS file, count(*) FILTER (WHERE floor(o_totalprice) > 0) AS amounts, count(*) FILTER (WHERE floor(o_totalprice) > 0) AS found
+FROM orders WHERE o_orderkey % 8 IN (1, 2, 3, 4, 5, 7) OR (o_orderkey % 8 = 0 AND o_orderkey % 3 = 0) GROUP BY 1""")
+def xml_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each bill the amounts of its raw text, and those of them that nodes hold."""
+    files = bills.xml_files(spark, sf_dir)
+    raw = bill_xml.raw_texts(files).select("file", F.explode(A.amounts(F.col("text"))).alias("v")).groupBy("file", "v").agg(F.count("*").alias("n"))
+    held = bill_xml.parse(files).select("file", F.explode(A.amounts(F.col("body_text"))).alias("v")).groupBy("file", "v").agg(F.count("*").alias("m"))
+    return raw.join(held, ["file", "v"], "left").groupBy("file").agg(F.sum("n").alias("amounts"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("found"))
+
+
+@query(CHANGES + " SELECT changes.pair_id, count(*) AS shown, count(*) FILTER (WHERE nk IS NOT NULL AND ok IS NOT NULL AND b NOT LIKE 'repealed%' AND x.amount <> y.amount + CASE WHEN nk % 3 = 0 THEN 1000 ELSE 0 END) AS financial, count(*) FILTER (WHERE kind <> 'modified') AS structural FROM changes LEFT JOIN old x ON x.k = ok LEFT JOIN new y ON y.k = nk WHERE kind <> 'unchanged' GROUP BY 1")
+def viewer_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = stored(contract.xml_views(bill_diff(spark, sf_dir)))
+    out = v.select("pair_id").distinct()
+    for kind, name in (("all", "shown"), ("financial", "financial"), ("structural", "structural")):
+        out = out.join(contract.shown(v, kind).groupBy("pair_id").agg(F.count("*").alias(name)), "pair_id", "left")
+    return out.na.fill(0)
+
+
+@query(CHANGES + ", " + SERIAL.format(s="new") + """
+SELECT c.pair_id, 'c-' || lpad(CAST(n AS VARCHAR), 4, '0') AS id, CAST(strpos(y.text, b) - 1 AS INTEGER) AS start, CAST(strpos(y.text, b) - 1 + length(b) AS INTEGER) AS "end"
+FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY spot) AS n FROM changes WHERE kind <> 'unchanged') c JOIN new_text y ON y.pair_id = c.pair_id WHERE b IS NOT NULL""")
+def marked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.marked_spans(contracts(spark, sf_dir)[1])
+
+
 # Printed pages
 
 

@@ -182,6 +182,29 @@ def parse(files: DataFrame) -> DataFrame:
     return rows.withColumn("congress", congress_number(F.col("congress_text"))).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
+def raw_texts(files: DataFrame, skip: tuple[str, ...] = ("quote", "header")) -> DataFrame:
+    """Rows (file, text): the body's whole text of each of (path, content), without what stands in the elements ``skip``."""
+
+    def inside(el: ET.Element) -> Iterator[str]:
+        if el.tag not in skip:
+            yield el.text or ""
+            for c in el:
+                yield from inside(c)
+                yield c.tail or ""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for file, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    out.append((file, " ".join("".join(inside(body_of(ET.fromstring(content)))).split())))
+                except (ET.ParseError, ValueError):
+                    out.append((file, None))
+            yield pd.DataFrame(out, columns=["file", "text"], dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, "file string, text string")
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """``parse`` of every XML file under ``path``."""
     return parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path))
