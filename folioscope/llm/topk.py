@@ -21,7 +21,9 @@ from .shared import bounded_batches, lean, stored
 
 #: Candidates of a group, at least and at most, and levels of a component.
 LEAST_GROUP, MOST_GROUP, LEVELS = 1 << 13, 1 << 16, 8
-#: Integers up to which sums of products are exact in doubles; the bounds of a score.
+#: Tasks that groups are dealt to, at most; small groups of rows are costly, so they are not put together.
+MOST_TASKS = 1 << 15
+#: Integers up to which sums of products are exact in doubles; the largest score.
 _EXACT, _MOST = 2.0**53, 2**63 - 1
 
 
@@ -144,7 +146,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "query_id", "vec_id", "score"])
 
     names = ["g", "asks", "row", "id", "v"]
-    both = found.select(*names).unionByName(asked.select(*names)).repartition("g").sortWithinPartitions("g", "asks")
+    both = found.select(*names).unionByName(asked.select(*names)).repartition(min(groups, MOST_TASKS), "g").sortWithinPartitions("g", "asks")
     part = both.mapInArrow(lean(run), "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
