@@ -144,3 +144,29 @@ def test_page_views_and_their_contract(spark):
     texts, places = contract.full_text(lines)
     assert texts.where("version = 1").first().text == "    1  Preamble words here.\n    2  TITLE I\n    3  SEC. 5. Alpha beta gamma delta epsilon.\n       loose line"
     assert tuple(places.where("version = 1 AND line_number = 2").first())[4:] == (28, 42)
+
+
+def test_contract_files_and_viewer(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from folioscope.functions import text as T
+
+    old = nodes(spark, "o", [(["a"], "Pays $5 for boats.", ""), (["b"], "gone", "")])
+    new = nodes(spark, "n", [(["a"], "Pays $9 for boats.", ""), (["c"], "boats.", "")])
+    d = classify.diff_versions(old, new)
+    names = spark.createDataFrame([("p", "hr", 118, 5, "a", "b", 1, 2)], "pair_id string, bill_type string, congress int, bill_number int, label_old string, label_new string, number_old int, number_new int")
+    docs = C.canonical(d, names, spark.createDataFrame([("p", "Pays $5 for boats. gone", "Pays $9 for boats.")], "pair_id string, v1 string, v2 string"))
+    contract.save(docs, str(tmp_path / "out"))
+    (tmp_path / "p.json").write_text(docs.first().json)
+    back = contract.load(spark, str(tmp_path / "p.json"))
+    assert back.first().pair_id == "p" and json.loads(back.first().json) == json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    with pytest.raises(ValueError, match="p: "):
+        contract.save(docs.withColumn("json", F.replace("json", F.lit('"modified"'), F.lit('"odd"'))), str(tmp_path / "no"))
+    views = contract.xml_views(d)
+    assert {k: contract.shown(views, k).count() for k in ("all", "financial", "structural")} == {"all": 3, "financial": 1, "structural": 2}
+    # "boats." stands within the text marked before it.
+    assert [(r.id, r.start, r.end) for r in contract.marked_spans(docs).collect()] == [("c-0001", 0, 18)]
+    one = spark.range(1).select(T.viewer_dollars(F.lit(-1500)).alias("a"), T.viewer_dollars(F.lit(20)).alias("b"), T.known_type(F.lit("hjres")).alias("c"), T.known_type(F.lit("x")).alias("d")).first()
+    assert tuple(one) == ("$-1,500", "$20", True, False)
