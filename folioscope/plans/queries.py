@@ -444,7 +444,7 @@ def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 4 THEN NULL ELSE pos END AS num, CASE WHEN pos % 3 = 0 THEN upper(replace(left(line, 15), 'ß', 's')) ELSE line END AS line FROM ({LINES})),
-h AS (SELECT *, CASE WHEN num IS NOT NULL AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '\\p{{Ll}}') AND NOT regexp_matches(line, '^(TITLE|SEC)') THEN line END AS head FROM l)
+h AS (SELECT *, CASE WHEN num IS NOT NULL AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '\\p{{Ll}}') AND NOT regexp_matches(line, '^TITLE\\s+[IVXLC]+\\b') AND NOT regexp_matches(line, '^SEC(TION)?\\.?\\s+[0-9]+\\b') THEN line END AS head FROM l)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, coalesce(lag(head, 1) OVER w, lag(head, 2) OVER w, lag(head, 3) OVER w) AS above FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
 def heading_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("pos")
