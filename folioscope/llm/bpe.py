@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import accumulate
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -24,10 +25,10 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from .shared import add_columns
 
-#: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose encoding a worker remembers, and pairs it has compared; either memory starts anew when it is full.
-REMEMBERED = 1 << 17
+#: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.  Words stand before the contractions, which begin otherwise.
+PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pre-tokens whose encoding a worker remembers, newly seen and seen before that, and pairs it has compared, which start anew when they are full.
+REMEMBERED = 1 << 18
 #: Bytes of a piece of a long text, and of a batch handed to the library.
 PIECE, BATCH = 1 << 16, 1 << 19
 #: Places where a pre-token always ends, whatever stands around them: before the one space after another character than white
@@ -64,16 +65,24 @@ def byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    """Pre-token to its ids as little-endian 32-bit integers."""
+    """Pre-token to its ids as little-endian 32-bit integers.
+
+    A full memory becomes the older one, from which what is seen again comes back; so frequent pre-tokens are encoded once.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.encode(word.encode("utf-8", "surrogatepass"))
+            ids = pack(f"<{len(found)}I", *found)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -106,7 +115,7 @@ class Vocabulary:
         self.id_of = {b: i for i, b in enumerate(self.bytes_of) if b}
         self.automaton = ahocorasick.Automaton()
         for b, i in self.id_of.items():
-            self.automaton.add_word(b.decode("latin-1"), i)
+            self.automaton.add_word(b.decode("latin-1"), (len(b) - 1, i))
         self.automaton.make_automaton()
         self.shorter = [self._shorter(b) for b in self.bytes_of]
         self.compatible: dict[int, bool] = {}
@@ -153,10 +162,9 @@ class Vocabulary:
             return [whole]
         n = len(raw)
         longest = [-1] * n
-        bytes_of, fits, shorter = self.bytes_of, self.fits, self.shorter
-        for end, token in self.automaton.iter(raw.decode("latin-1")):
-            start = end + 1 - len(bytes_of[token])
-            longest[start] = token  # ends ascend, so the last is the longest
+        bytes_of, fits, shorter, known = self.bytes_of, self.fits, self.shorter, self.compatible
+        for end, (back, token) in self.automaton.iter(raw.decode("latin-1")):
+            longest[end - back] = token  # ends ascend, so the last is the longest
         dead = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0] if n else -1
@@ -164,8 +172,12 @@ class Vocabulary:
             last = out[-1] if out else -1
             while token >= 0:
                 end = at + len(bytes_of[token])
-                if not dead[end] and (last < 0 or fits(last, token)):
-                    break
+                if not dead[end]:
+                    fit = last < 0 or known.get(last << 32 | token)
+                    if fit is None:
+                        fit = fits(last, token)
+                    if fit:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
