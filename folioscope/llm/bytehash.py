@@ -36,11 +36,12 @@ LOWER[0x41:0x5B] += 32
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every input bit."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))  # a new array, changed in place from here on
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def blocks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,7 +88,11 @@ def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     padded = np.append(buf, np.zeros(8, np.uint8))
     piece = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
     with np.errstate(over="ignore"):
-        out = mix((piece[s] & _FIRST[np.minimum(n, 8)]) * _MUL + n.astype(np.uint64) * _LENGTH)
+        out = piece[s]
+        out &= _FIRST[np.minimum(n, 8)]
+        out *= _MUL
+        out += n.view(np.uint64) * _LENGTH
+        out = mix(out)
         on, at = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
         while len(on):
             left = n[on] - at

@@ -39,6 +39,8 @@ SPLIT, LINES_SENT, CHUNK = 1 << 19, 100_000, 400_000
 #: Earlier partners that pass the filters, or that are clearly near, after which a line looks for no more in a list, unless
 #: none of them holds; and how many a line with clearly near ones offers from each bucket.
 ENOUGH, ENOUGH_NEAR, OFFERED, FULL = 64, 4, 1, 1 << 30
+#: Rounds after which a list is looked at in tiles of so many later and earlier entries.
+ROUNDS, TILE_ROWS, TILE = 48, 1024, 128
 #: Documents up to which those that hold candidates are broadcast to filter the texts that are read again.
 FEW = 200_000
 #: Lines looked at together, at most 2**16: a sort key has 16 bits for the line, 8 for rarity and 40 of the word's hash.
@@ -64,14 +66,15 @@ def line_words(texts: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         use = np.flatnonzero(count)
         row = np.searchsorted(starts, head[use], "right") - 1
         line_no = use - np.searchsorted(head, starts)[row]
-        chars = np.append(np.int64(0), np.cumsum((buf & 0xC0) != 0x80))
-        base = chars[starts[row]]
+        later = np.flatnonzero((buf & 0xC0) == 0x80)  # bytes that begin no character
+        chars = lambda at: at - np.searchsorted(later, at)  # noqa: B023, E731
+        base = chars(starts[row])
         for i in range(0, len(use), LINES):
             part = slice(i, i + LINES)
             on = use[part]
             n = count[on]
-            at = np.arange(n.sum()) + np.repeat(first[on] - (np.cumsum(n) - n), n)
-            yield {"row": lo + row[part], "line_no": line_no[part], "start": chars[head[on]] - base[part], "end": chars[feed[on]] - base[part], "h": h[at], "of": np.repeat(np.arange(len(on)), n)}
+            at = slice(first[on[0]], first[on[-1]] + n[-1])  # lines between these have no words
+            yield {"row": lo + row[part], "line_no": line_no[part], "start": chars(head[on]) - base[part], "end": chars(feed[on]) - base[part], "h": h[at], "of": np.repeat(np.arange(len(on)), n)}
 
 
 def _distinct(w: dict[str, np.ndarray], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +202,8 @@ def split_lists(entries: np.ndarray, rare: np.ndarray, split: int) -> np.ndarray
 def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index of an earlier line, of a later one, distance of their sketches, indices of lines that stopped looking).
 
-    ``e`` is the bucket's entries, by list and then by rank.  Round d looks at the pairs that stand d apart in a list.
+    ``e`` is the bucket's entries, by list and then by rank.  Round d looks at the pairs that stand d apart in a list; what stands
+    further apart than ``ROUNDS`` is looked at in tiles of one list.
     """
     h = e["w"].copy()
     new = np.append(True, h[1:] != h[:-1])
@@ -237,9 +241,49 @@ def met(e: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         active = active[~full]
         if not len(active):
             break
+        if d > ROUNDS:
+            heads = np.flatnonzero(new)
+            at = np.searchsorted(heads, active, "right")
+            for a, b in zip(*(lambda c: (np.append(0, c), np.append(c, len(active))))(np.flatnonzero(np.diff(at)) + 1), strict=True):
+                for c in range(a, b, TILE_ROWS):
+                    _tiles(active[c : min(c + TILE_ROWS, b)], heads[at[a] - 1], d, enough, (allow, size, n, s, t, doc, line, found, close), (early, late, apart, stopped))
+            break
     return tuple(np.concatenate(x) for x in (early, late, apart, stopped))
 
 
+def _tiles(rows: np.ndarray, lo: int, d: int, enough: int, of: tuple[np.ndarray, ...], out: tuple[list, ...]) -> None:
+    """What ``met`` finds of lines ``rows`` of the list from ``lo`` on, ``d`` and more before each, nearest tile first."""
+    allow, size, n, s, t, doc, line, found, close = of
+    early, late, apart, stopped = out
+    hi = int(rows[-1]) - d + 1
+    while hi > lo and len(rows):
+        low = max(lo, hi - TILE)
+        cols = slice(low, hi)
+        pass_ = (allow[cols] >= size[rows][:, None]) & (allow[rows][:, None] >= size[cols])
+        if hi - 1 > rows[0] - d:
+            pass_ &= np.arange(low, hi) <= (rows - d)[:, None]
+        if 8 * np.count_nonzero(pass_) > pass_.size:  # counting all of a tile is cheaper than picking out so many
+            both = n[rows][:, None] + n[cols]
+            pass_ &= np.bitwise_count(s[rows][:, None] ^ s[cols]).astype(np.int32) + np.bitwise_count(t[rows][:, None] ^ t[cols]) <= both - 2 * -(-3 * both // 7)
+        # From the right, so that the nearest of a line come first
+        r, back = np.divmod(np.flatnonzero(pass_[:, ::-1]), hi - low)
+        j, i = rows[r], hi - 1 - back
+        both = n[i].astype(np.int64) + n[j]
+        ham = np.bitwise_count(s[i] ^ s[j]).astype(np.int64) + np.bitwise_count(t[i] ^ t[j])
+        ok = (ham <= both - 2 * -(-3 * both // 7)) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+        r, j, i, ham, both = r[ok], j[ok], i[ok], ham[ok], both[ok]
+        # A line keeps no more than ``enough``; one with more has stopped.
+        use = np.arange(len(r)) - np.searchsorted(r, r) + found[j] < enough
+        early.append(i[use])
+        late.append(j[use])
+        apart.append(ham[use])
+        found[rows] += np.bincount(r, minlength=len(rows)).astype(np.int32)
+        close[rows] += np.bincount(r[_near(ham, both)], minlength=len(rows)).astype(np.int32)
+        full = (found[rows] >= enough) | ((close[rows] >= ENOUGH_NEAR) & (enough < FULL))
+        stopped.append(rows[full])
+        rows, hi = rows[~full], low
+
+
 def met_by(e: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of an earlier line, of a later one, distance of their sketches) of all pairs whose later line is in ``want``.
 
@@ -539,8 +583,10 @@ def _later(rows: DataFrame, enough: int, split: int) -> DataFrame:
     pairs = all_.where(F.col("start").isNull())
     later = [F.col("doc_b").alias("doc"), F.col("line_b").alias("line_no")]
     # First the nearest partner of each line, then the others of lines whose nearest doesn't hold.
-    best = pairs.where(F.col("doc_a").isNotNull()).groupBy("doc_b", "line_b").agg(F.min(F.struct("apart", "doc_a", "line_a")).alias("p"))
-    best = stored(best.select("p.doc_a", "p.line_a", "doc_b", "line_b"))
+    # One long orders them, by distance and then by a hash, so that buffers have fixed widths and nothing is sorted.
+    rank = F.shiftleft(F.col("apart").cast("long"), 55) + F.shiftrightunsigned(F.xxhash64("doc_a", "line_a"), 9)
+    best = pairs.where(F.col("doc_a").isNotNull()).groupBy("doc_b", "line_b").agg(F.min_by("doc_a", rank).alias("doc_a"), F.min_by("line_a", rank).alias("line_a"))
+    best = stored(best.select("doc_a", "line_a", "doc_b", "line_b"))
     gone = stored(_held(rows, best))
     open_ = stored(best.select(*later).join(gone, ["doc", "line_no"], "left_anti"))
     left = stored(pairs.join(open_.select(F.col("doc").alias("doc_b"), F.col("line_no").alias("line_b")), ["doc_b", "line_b"], "left_semi"))
